@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attune.llm import consensus, ranking, tokens
+from attune.llm import consensus, forest, ranking, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,23 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts, tokens and texts that do not come back byte for byte (none)."""
     return tokens.round_trip(table(spark, d, "documents"), "doc_id", "text", f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
+
+
+# 5. Most similar vectors for every vector
+
+
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    return forest.similar(table(spark, d, "paraphrase_vectors"), "id", "vector", dim=96, k=5, least=0.8)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of cosine 0.80 or more, one being among the five most similar of the other."""
+    near = _similar(spark, d)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+@query
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar rows of 0.80 or more of every row, with their cosine and place."""
+    return _similar(spark, d).select("id", "other", F.round("cosine", 6).alias("cosine"), "place")
