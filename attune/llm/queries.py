@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attune.llm import consensus, forest, ranking, tokens
+from attune.llm import consensus, forest, leakage, ranking, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar rows of 0.80 or more of every row, with their cosine and place."""
     return _similar(spark, d).select("id", "other", F.round("cosine", 6).alias("cosine"), "place")
+
+
+# 7. Evaluation texts leaking into training text
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an evaluation item's own wording, with the item."""
+    return leakage.contaminated(table(spark, d, "documents"), table(spark, d, "evaluation_items"))
+
+
+@query
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents leak each item."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
