@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attune.llm import consensus, forest, leakage, ranking, tokens
+from attune.llm import consensus, forest, leakage, pii, ranking, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """How many documents leak each item."""
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+# 8. Personal information inside free text
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of personal data with its kind."""
+    return pii.personal_data(table(spark, d, "documents")).select("doc_id", "kind", "pii_text").distinct()
+
+
+@query
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with typed placeholders."""
+    return pii.redacted(table(spark, d, "documents"))
+
+
+@query
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces and affected documents per kind."""
+    found = pii.personal_data(table(spark, d, "documents"))
+    return found.groupBy("kind").agg(F.count("*").alias("pieces"), F.countDistinct("doc_id").alias("documents"))
