@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attune.llm import consensus, forest, leakage, pii, ranking, tokens
+from attune.llm import abuse, consensus, forest, leakage, pii, ranking, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,34 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Pieces and affected documents per kind."""
     found = pii.personal_data(table(spark, d, "documents"))
     return found.groupBy("kind").agg(F.count("*").alias("pieces"), F.countDistinct("doc_id").alias("documents"))
+
+
+# 3. Abusive, hateful or sexual content
+
+
+def _abuse(spark: SparkSession, d: str) -> DataFrame:
+    corpus = table(spark, d, "combined_corpus")
+    model = abuse.detector(corpus, table(spark, d, "profanity_wordlist"), "sentence", "paraphrase", "idx")
+    return abuse.scored(corpus, model, "idx", "sentence", "paraphrase", ("source",))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and rewrite lists that hold such language."""
+    s = _abuse(spark, d)
+    fields = F.array(F.when(F.col("sentence_score") > 0, F.lit("sentence")), F.when(F.col("rewrite_score") > 0, F.lit("paraphrase")))
+    return s.select("idx", F.explode(F.array_compact(fields)).alias("field")).distinct()
+
+
+@query
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every sentence and rewrite list (log-odds over the threshold)."""
+    return _abuse(spark, d).dropDuplicates(["idx"]).select("idx", F.round("sentence_score", 4).alias("sentence_score"), F.round("rewrite_score", 4).alias("rewrite_score"))
+
+
+@query
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of such language per source."""
+    s = _abuse(spark, d).dropDuplicates(["idx"])
+    rate = lambda c: F.round(F.avg((F.coalesce(F.col(c), F.lit(-1.0)) > 0).cast("double")), 6)
+    return s.groupBy("source").agg(F.count("*").alias("n"), rate("sentence_score").alias("sentence_rate"), rate("rewrite_score").alias("paraphrase_rate"))
