@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attune.llm import abuse, consensus, forest, leakage, pii, ranking, tokens
+from attune.llm import abuse, consensus, defects, forest, leakage, pii, ranking, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,18 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     s = _abuse(spark, d).dropDuplicates(["idx"])
     rate = lambda c: F.round(F.avg((F.coalesce(F.col(c), F.lit(-1.0)) > 0).cast("double")), 6)
     return s.groupBy("source").agg(F.count("*").alias("n"), rate("sentence_score").alias("sentence_rate"), rate("rewrite_score").alias("paraphrase_rate"))
+
+
+# 2. Broken prompt and response pairs
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective results with their type of defect."""
+    return defects.broken_pairs(table(spark, d, "paraphrase_generation")).select("gen_id", "defect").distinct()
+
+
+@query
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Defective results per type."""
+    return p2_found(spark, d).groupBy("defect").agg(F.count("*").alias("results"))
