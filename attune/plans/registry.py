@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A driver table; columns are pruned by the plan that reads it."""
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+for _name in ("filters", "joins", "aggregates", "ranks", "battles", "texts", "scalars", "vectors", "statistics", "logs", "streams", "models"):
+    importlib.import_module(f"attune.plans.{_name}")
