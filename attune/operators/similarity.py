@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ def rouge_l(reference: Column, candidate: Column) -> Column:
     A data-dependent table per row is what Catalyst cannot express well, so the length of the longest common
     subsequence is found in an Arrow-batched function, bit-parallel: one big-integer step per word.
     """
-    import pandas as pd
-
     def length(a: list[str], b: list[str]) -> int:
         masks: dict[str, int] = {}
         for i, w in enumerate(a):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +26,3 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A driver table; columns are pruned by the plan that reads it."""
     return spark.read.parquet(f"{d}/{name}.parquet")
 
-
-for _name in ("filters", "joins", "aggregates", "ranks", "battles", "texts", "scalars", "vectors", "statistics", "logs", "streams", "models"):
-    importlib.import_module(f"attune.plans.{_name}")
