@@ -19,98 +19,100 @@ def _map(spark, d, column):
     return _docs(spark, d).select("doc_id", column.alias("out"))
 
 
-T = F.col("text")
+def _t():
+    """The text column; columns exist only while a session does."""
+    return F.col("text")
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '', 'g') AS out FROM documents")
 def txt_strip_ip(spark, d):
-    return _map(spark, d, X.strip_ip(T))
+    return _map(spark, d, X.strip_ip(_t()))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, 'https?://\S+|www\.\S+', '', 'g') AS out FROM documents")
 def txt_strip_url(spark, d):
-    return _map(spark, d, X.strip_url(T))
+    return _map(spark, d, X.strip_url(_t()))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '\d+', '', 'g') AS out FROM documents")
 def txt_strip_digits(spark, d):
-    return _map(spark, d, X.strip_digits(T))
+    return _map(spark, d, X.strip_digits(_t()))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, ' {2,}', ' ', 'g') AS out FROM documents")
 def txt_collapse_space(spark, d):
-    return _map(spark, d, X.collapse_space(T))
+    return _map(spark, d, X.collapse_space(_t()))
 
 
 @query(f"SELECT doc_id, replace(replace(replace(translate(text, '{X.ACCENTED}', '{X.PLAIN}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS out FROM documents")
 def txt_unaccent(spark, d):
-    return _map(spark, d, X.unaccent(T))
+    return _map(spark, d, X.unaccent(_t()))
 
 
 @query()
 def txt_unaccent_full(spark, d):
-    return _map(spark, d, P.full_unaccent(T))
+    return _map(spark, d, P.full_unaccent(_t()))
 
 
 @query()
 def txt_strip_html(spark, d):
     """By a real parser; the JVM form is X.strip_html."""
-    return _map(spark, d, P.parse_html(T))
+    return _map(spark, d, P.parse_html(_t()))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[A-Za-z/!][^<>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS out FROM documents""")
 def txt_strip_html_fast(spark, d):
-    return _map(spark, d, X.strip_html(T))
+    return _map(spark, d, X.strip_html(_t()))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '@\S+', '@USER', 'g') AS out FROM documents")
 def txt_user_mask(spark, d):
-    return _map(spark, d, X.mask_users(T))
+    return _map(spark, d, X.mask_users(_t()))
 
 
 @query()
 def txt_squeeze(spark, d):
     """Needs a back reference, which the SQL side's regular expressions lack."""
-    return _map(spark, d, X.squeeze(T))
+    return _map(spark, d, X.squeeze(_t()))
 
 
 @query()
 def txt_emoji(spark, d):
-    return _map(spark, d, X.strip_emoji(T))
+    return _map(spark, d, X.strip_emoji(_t()))
 
 
 @query()
 def txt_tidy(spark, d):
-    return _map(spark, d, X.tidy(T))
+    return _map(spark, d, X.tidy(_t()))
 
 
 @query()
 def txt_clean_all(spark, d):
-    return _map(spark, d, X.clean(T))
+    return _map(spark, d, X.clean(_t()))
 
 
 _ASCII = "doc_id IN (SELECT doc_id FROM documents WHERE regexp_full_match(text, '[ -~\\n\\r\\t]*'))"
 
 
 def _ascii(spark, d):
-    return _docs(spark, d).where(T.rlike(r"^[ -~\n\r\t]*\z"))
+    return _docs(spark, d).where(_t().rlike(r"^[ -~\n\r\t]*\z"))
 
 
 @query(rf"""SELECT doc_id, array_to_string(regexp_extract_all(text, '\b\w+(?:[''-]\w+)*\b|[^\w\s]'), ' ') AS out FROM documents WHERE {_ASCII}""")
 def txt_word_tokens(spark, d):
     """Word tokens of the texts in plain ASCII (in others the engines' word classes differ)."""
-    return _ascii(spark, d).select("doc_id", F.array_join(X.word_tokens(T), " ").alias("out"))
+    return _ascii(spark, d).select("doc_id", F.array_join(X.word_tokens(_t()), " ").alias("out"))
 
 
 @query()
 def txt_token_offsets(spark, d):
-    return _docs(spark, d).select("doc_id", P.token_offsets(T).alias("out"))
+    return _docs(spark, d).select("doc_id", P.token_offsets(_t()).alias("out"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b\w+(?:[''-]\w+)*\b|[^\w\s]')) AS w FROM documents WHERE {_ASCII})
 SELECT doc_id, count(*) FILTER (w IN ({','.join(repr(s) for s in X.STOP_WORDS)}) OR regexp_full_match(w, '[^\w\s]+') OR regexp_full_match(w, '-?\d+(\.\d+)?') OR lower(w) IN ({','.join(repr(s) for s in X.PRONOUNS)})) AS irrelevant, count(*) AS n FROM t GROUP BY 1""")
 def txt_irrelevant_word(spark, d):
-    t = _ascii(spark, d).select("doc_id", F.explode(X.word_tokens(T)).alias("w"))
+    t = _ascii(spark, d).select("doc_id", F.explode(X.word_tokens(_t())).alias("w"))
     return t.groupBy("doc_id").agg(F.count(F.when(X.irrelevant(F.col("w")), 1)).alias("irrelevant"), F.count("*").alias("n"))
 
 
@@ -123,7 +125,7 @@ def txt_profanity_detect(spark, d):
 @query(r"""SELECT doc_id, list_sort(list(DISTINCT w)) AS words FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE w IN (SELECT lower(word) FROM profanity_wordlist) GROUP BY 1""")
 def txt_profanity_plain(spark, d):
     """Listed words in their plain spelling per document."""
-    t = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower(T), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    t = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower(_t()), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
     w = table(spark, d, "profanity_wordlist").select(F.lower("word").alias("w")).distinct()
     return t.join(w, "w", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("w")).alias("words"))
 
@@ -134,7 +136,7 @@ def txt_profanity_normalise(spark, d):
     m = profanity.matches(_docs(spark, d), "doc_id", "text", table(spark, d, "profanity_wordlist")).where("token <> word")
     g = m.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("token", "word"))).alias("m"))
     j = _docs(spark, d).join(g, "doc_id")
-    return j.select("doc_id", F.aggregate("m", T, lambda acc, x: F.replace(acc, x["token"], x["word"])).alias("out"))
+    return j.select("doc_id", F.aggregate("m", _t(), lambda acc, x: F.replace(acc, x["token"], x["word"])).alias("out"))
 
 
 @query()
@@ -158,18 +160,18 @@ def txt_variants(spark, d):
 
 @query("SELECT doc_id, coalesce(regexp_matches(text, '[一-鿿]'), false) AS cjk FROM documents")
 def txt_contains_cjk(spark, d):
-    return _docs(spark, d).select("doc_id", F.coalesce(X.contains_cjk(T), F.lit(False)).alias("cjk"))
+    return _docs(spark, d).select("doc_id", F.coalesce(X.contains_cjk(_t()), F.lit(False)).alias("cjk"))
 
 
 @query()
 def txt_split_sentences(spark, d):
     """Sentences with their delimiters and whether they need translating; look-behind has no SQL twin."""
-    return _docs(spark, d).select("doc_id", F.explode(X.sentences(T)).alias("s")).select("doc_id", "s", X.contains_cjk(F.col("s")).alias("cjk"))
+    return _docs(spark, d).select("doc_id", F.explode(X.sentences(_t())).alias("s")).select("doc_id", "s", X.contains_cjk(F.col("s")).alias("cjk"))
 
 
 @query(r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[\r\n]+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))::BIGINT AS n FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\n\r]*')")
 def txt_sent_tokenize(spark, d):
-    return _docs(spark, d).where(T.rlike(r"^[ -~\n\r]*\z")).select("doc_id", F.size(X.sentences(T)).cast("long").alias("n"))
+    return _docs(spark, d).where(_t().rlike(r"^[ -~\n\r]*\z")).select("doc_id", F.size(X.sentences(_t())).cast("long").alias("n"))
 
 
 @query(f"""WITH {GENERATIONS} SELECT gen_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(result.reasoning, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(trim(s), '[. ]+$', '')), lambda s: s <> ''), '|') AS out FROM g WHERE result.reasoning IS NOT NULL AND regexp_full_match(result.reasoning, '[ -~]*')""")
@@ -192,12 +194,12 @@ _GOOD = "result IS NOT NULL AND trim(result.reasoning) <> '' AND trim(replace(re
 
 @query(f"WITH {GENERATIONS}, a AS (SELECT gen_id, {_ANSWER} AS text FROM g WHERE {_GOOD}) SELECT gen_id, nullif(trim(regexp_extract(text, '(?s)Final Reasoning(.*?)Final Paraphrase', 1), ' '), '') AS out FROM a")
 def txt_between(spark, d):
-    return _answers(spark, d).select("gen_id", X.between(T, "Final Reasoning", "Final Paraphrase").alias("out"))
+    return _answers(spark, d).select("gen_id", X.between(_t(), "Final Reasoning", "Final Paraphrase").alias("out"))
 
 
 @query(f"WITH {GENERATIONS}, a AS (SELECT gen_id, {_ANSWER} AS text FROM g WHERE {_GOOD}) SELECT gen_id, nullif(trim(regexp_extract(text, 'Final Paraphrase\\s*:?\\s*([^\\r\\n]*)', 1)), '') AS paraphrase FROM a")
 def txt_extract_cascade(spark, d):
-    return _answers(spark, d).select("gen_id", F.coalesce(X.extract_answer(T)["paraphrase"], X.after(T, "Final Paraphrase")).alias("paraphrase"))
+    return _answers(spark, d).select("gen_id", F.coalesce(X.extract_answer(_t())["paraphrase"], X.after(_t(), "Final Paraphrase")).alias("paraphrase"))
 
 
 @query(f"""WITH {GENERATIONS} SELECT gen_id, trim(regexp_replace(regexp_replace(trim(replace(regexp_replace('```json ' || result.paraphrase || '**', '```[a-z]*', '', 'g'), '**', '')), '^:\\s*', ''), '^["'']+|["'']+$', '', 'g')) AS out FROM g WHERE result.paraphrase IS NOT NULL""")
@@ -207,7 +209,7 @@ def txt_pre_post(spark, d):
 
 @query("SELECT doc_id, string_split(text, 'Final Solution')[1] AS out FROM documents")
 def txt_cut_at_marker(spark, d):
-    return _map(spark, d, X.cut_at(T, "Final Solution"))
+    return _map(spark, d, X.cut_at(_t(), "Final Solution"))
 
 
 @query("""SELECT event_id, regexp_extract('answer ```json ' || props || ' ``` end', '(?s)```json\\s*(\\{.*?\\})\\s*```', 1) AS block, (props->>'k')::INT AS k FROM events""")
@@ -224,7 +226,7 @@ def txt_parse_kv_lines(spark, d):
 
 @query("SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 60 THEN array_to_string(string_split(text, ' ')[:40], ' ') ELSE text END AS out FROM documents")
 def txt_truncate_words(spark, d):
-    return _map(spark, d, X.truncate_words(T, 60, 40))
+    return _map(spark, d, X.truncate_words(_t(), 60, 40))
 
 
 @query(f"WITH {GENERATIONS} SELECT gen_id, 'Sentence: ' || sentence || chr(10) || 'Words: ' || coalesce(array_to_string(shap_values, ', '), '') || chr(10) || 'Label: ' || coalesce(label, -1)::VARCHAR AS prompt FROM g WHERE sentence IS NOT NULL")
@@ -235,7 +237,7 @@ def txt_prompt_format(spark, d):
 
 @query("SELECT source, max((len(string_split(text, ' ')) + 20 >= 200)::INT)::INT AS abort FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def txt_prompt_too_long(spark, d):
-    return _docs(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").where("text IS NOT NULL").groupBy("source").agg(F.max((F.size(F.split(T, " ")) + 20 >= 200).cast("int")).alias("abort"))
+    return _docs(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").where("text IS NOT NULL").groupBy("source").agg(F.max((F.size(F.split(_t(), " ")) + 20 >= 200).cast("int")).alias("abort"))
 
 
 @query(f"WITH {GENERATIONS} SELECT gen_id, 'Rewrite.###Human: ' || sentence || '###Assistant: ' || result.paraphrase || '</s>' AS prompt FROM g WHERE sentence IS NOT NULL AND result.paraphrase IS NOT NULL")
@@ -246,7 +248,7 @@ def txt_conv_prompt(spark, d):
 
 @query("SELECT doc_id, replace(replace(replace('Assistant 1 ' || text || ' Assistant 2', 'Assistant 1', chr(1)), 'Assistant 2', 'Assistant 1'), chr(1), 'Assistant 2') AS out FROM documents")
 def txt_swap_answers(spark, d):
-    return _map(spark, d, X.swap_answers(F.concat(F.lit("Assistant 1 "), T, F.lit(" Assistant 2"))))
+    return _map(spark, d, X.swap_answers(F.concat(F.lit("Assistant 1 "), _t(), F.lit(" Assistant 2"))))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value ELSE -1 END AS a, CASE WHEN event_id % 3 = 0 THEN (user_id)::DOUBLE ELSE -1 END AS b FROM events""")
@@ -266,7 +268,7 @@ def txt_parse_scores_n(spark, d):
 def txt_random_case(spark, d):
     from attune.operators.sampling import whole
 
-    return _ascii(spark, d).select("doc_id", F.when(whole(F.col("doc_id"), 17) % 2 == 0, F.upper(T)).otherwise(F.lower(T)).alias("out"))
+    return _ascii(spark, d).select("doc_id", F.when(whole(F.col("doc_id"), 17) % 2 == 0, F.upper(_t())).otherwise(F.lower(_t())).alias("out"))
 
 
 @query("SELECT n_nationkey, n_name AS name FROM nation")
@@ -282,7 +284,7 @@ def txt_rename_models(spark, d):
 
 @query("SELECT doc_id, coalesce(contains(lower(text), 'lumen') OR contains(lower(text), 'language model') OR contains(lower(text), 'plumb-r1'), false) AS leaked FROM documents")
 def txt_leaked_identity(spark, d):
-    return _docs(spark, d).select("doc_id", F.coalesce(X.leaks_identity(T, ["lumen", "language model", "plumb-r1"]), F.lit(False)).alias("leaked"))
+    return _docs(spark, d).select("doc_id", F.coalesce(X.leaks_identity(_t(), ["lumen", "language model", "plumb-r1"]), F.lit(False)).alias("leaked"))
 
 
 @query(r"""SELECT column_name, CASE WHEN regexp_matches(column_name, '^l_(quantity|extendedprice)') THEN 'amount' WHEN regexp_matches(column_name, 'key$') THEN 'key' ELSE 'other' END AS kind FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_orderkey'), ('l_tax')) t(column_name)""")
@@ -293,7 +295,7 @@ def txt_title_rules(spark, d):
 
 @query()
 def txt_ctc_fix(spark, d):
-    return _map(spark, d, P.unescape_codepoints(T))
+    return _map(spark, d, P.unescape_codepoints(_t()))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'error' THEN 0 END AS good, CASE WHEN event_type = 'click' THEN 0 WHEN event_type = 'error' THEN 1 END AS bad FROM events")
@@ -310,7 +312,7 @@ def txt_or_and_answer(spark, d):
 
 @query()
 def txt_unicode_escape(spark, d):
-    return _map(spark, d, P.escape_unicode(T))
+    return _map(spark, d, P.escape_unicode(_t()))
 
 
 @query("SELECT n_nationkey, 'fewshot' AS kind, n_nationkey AS n FROM nation")
@@ -322,13 +324,13 @@ def txt_experiment_name(spark, d):
 
 @query("SELECT doc_id, coalesce(ends_with(text, '.') OR ends_with(text, '.\n') OR ends_with(text, '.\n#'), false) AS partial FROM documents".replace("\n", "' || chr(10) || '"))
 def txt_stop_partial(spark, d):
-    return _docs(spark, d).select("doc_id", F.coalesce(X.stop_partial(T, ".\n#"), F.lit(False)).alias("partial"))
+    return _docs(spark, d).select("doc_id", F.coalesce(X.stop_partial(_t(), ".\n#"), F.lit(False)).alias("partial"))
 
 
 @query()
 def txt_strip_markdown(spark, d):
     """Markdown marks removed: headings, quotes, list marks, emphasis, code, links."""
-    s = F.regexp_replace(T, r"(?m)^\s{0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+\.\s+)", "")
+    s = F.regexp_replace(_t(), r"(?m)^\s{0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+\.\s+)", "")
     s = F.regexp_replace(s, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
     return _map(spark, d, F.regexp_replace(s, r"(\*\*|__|\*|`{1,3})", ""))
 
@@ -337,7 +339,7 @@ def txt_strip_markdown(spark, d):
 def txt_detect_lang(spark, d):
     """Language by function words per document: the best of four, or unknown."""
     words = {"en": "the and is of to", "de": "der die und ist nicht", "fr": "le les est une des", "es": "el los una que y"}
-    tokens = F.split(F.lower(T), r"[^\p{L}]+")
+    tokens = F.split(F.lower(_t()), r"[^\p{L}]+")
 
     def count(listed: list[str]):
         return F.size(F.filter(tokens, lambda w: w.isin(*listed)))
