@@ -67,3 +67,9 @@ GROUPS = {
     "LI": ("discourse_representation", "coherence_step_vs_step"),
     "LC": ("perplexity_step", "perplexity_chain", "perplexity_step_max", "grammar_step", "grammar_step_max"),
 }
+
+#: Short names of annotation labels.
+SHORT_NAMES = {
+    "grammar": "GRAM", "factuality": "FACT", "hallucination": "HALL", "redundancy": "RED", "repetition": "REP", "missing_step": "MISS",
+    "logical_deduction": "LOGIC", "commonsense": "COMMON", "arithmetic": "MATH", "quality": "QUAL", "coherency": "COH",
+}

@@ -76,3 +76,23 @@ def cls_fluency(spark, d):
     words = inference.classify(lambda: lambda xs: [float(x.count(" ") + 1) for x in xs], F.col("text"))
     chars = inference.classify(lambda: lambda xs: [float(len(x)) for x in xs], F.col("text"))
     return t.select("doc_id", (words > 100).cast("int").alias("fluent"), (chars > 500).cast("int").alias("style"))
+
+
+@query("SELECT doc_id, (length(text) > 500)::INT AS style FROM documents WHERE text IS NOT NULL")
+def cls_style(spark, d):
+    """Style transfer as a thresholded probability (stand-in by length)."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", (inference.classify(lambda: lambda xs: [float(len(x) > 500) for x in xs], F.col("text")) > 0.5).cast("int").alias("style"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '!')) / greatest(length(text), 1)::DOUBLE AS toxicity FROM documents WHERE text IS NOT NULL")
+def cls_toxic(spark, d):
+    """Toxicity as the first label's score (stand-in: share of exclamation marks)."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", inference.classify(lambda: lambda xs: [x.count("!") / max(len(x), 1) for x in xs], F.col("text")).alias("toxicity"))
+
+
+@query("SELECT event_type, sum(value * value) / sum(value) AS weighted FROM events GROUP BY 1")
+def udaf(spark, d):
+    """An own aggregate is composed of built-in ones, so partial sums are made before the shuffle."""
+    return table(spark, d, "events").groupBy("event_type").agg((F.sum(F.col("value") * F.col("value")) / F.sum("value")).alias("weighted"))

@@ -291,3 +291,63 @@ def snk_append_answer(spark, d):
     g = table(spark, d, "paraphrase_generation").select("gen_id", "model", "generated_at")
     out = _round_trip(spark, g, lambda x, p: (x.where("gen_id % 2 = 0").write.mode("append").parquet(p), x.where("gen_id % 2 = 1").write.mode("append").parquet(p)), lambda p: spark.read.schema(g.schema).parquet(p))
     return last_wins(out, ["gen_id"], [F.col("generated_at")])
+
+
+@query("SELECT idx, model, label FROM (SELECT DISTINCT gen_id, idx, model, label FROM paraphrase_generation)")
+def snk_csv(spark, d):
+    from attune.sources import readers, sinks
+
+    g = table(spark, d, "paraphrase_generation").select("gen_id", "idx", "model", "label").distinct().drop("gen_id")
+    return _round_trip(spark, g, sinks.write_csv, lambda p: readers.read_csv(spark, p, g.schema))
+
+
+@query("SELECT gen_id, result.reasoning AS reasoning, shap_values FROM paraphrase_generation")
+def snk_jsonl(spark, d):
+    from attune.sources import readers, sinks
+
+    g = table(spark, d, "paraphrase_generation").select("gen_id", F.col("result.reasoning").alias("reasoning"), "shap_values")
+    return _round_trip(spark, g, sinks.write_jsonl, lambda p: readers.read_jsonl(spark, p, g.schema))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def snk_json_records(spark, d):
+    """One document that is an array of records."""
+    from attune.sources import readers, sinks
+
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    doc = n.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))
+    return _round_trip(spark, doc, sinks.write_text, lambda p: readers.read_json_array(spark, p, n.schema))
+
+
+@query("SELECT 3 AS lines, '| n_name | n_regionkey |' AS head")
+def snk_markdown(spark, d):
+    from attune.sources.sinks import markdown
+
+    text = markdown(table(spark, d, "nation").where("n_nationkey = 0").select("n_name", "n_regionkey"))
+    return spark.createDataFrame([(len(text.split("\n")), text.split("\n")[0])], "lines INT, head STRING")
+
+
+@query("SELECT 'rewrite' AS name, 'Rewrite.' || chr(10) || 'Keep the meaning.' AS template")
+def src_yaml_prompt(spark, d):
+    """Prompt templates of a small configuration file, written line ends resolved."""
+    from attune.sources.readers import parse_prompts
+
+    return spark.createDataFrame(sorted(parse_prompts("# prompts\nrewrite: 'Rewrite.\\\\nKeep the meaning.'\n").items()), "name STRING, template STRING")
+
+
+@query("SELECT * FROM (VALUES ('grammar', 'GRAM'), ('factuality', 'FACT'), ('hallucination', 'HALL'), ('redundancy', 'RED'), ('repetition', 'REP'), ('missing_step', 'MISS'), ('logical_deduction', 'LOGIC'), ('commonsense', 'COMMON'), ('arithmetic', 'MATH'), ('quality', 'QUAL'), ('coherency', 'COH')) t(label, short)")
+def st_levels(spark, d):
+    """Short names of annotation labels."""
+    from attune.operators.chains import SHORT_NAMES
+
+    return spark.createDataFrame(sorted(SHORT_NAMES.items()), "label STRING, short STRING")
+
+
+@query("""WITH w AS (SELECT s_suppkey AS worker, s_acctbal + 1000 AS speed FROM supplier WHERE s_acctbal > -999), c AS (SELECT worker, sum(speed) OVER (ORDER BY worker) / sum(speed) OVER () AS hi FROM w),
+u AS (SELECT n_nationkey, ('0x' || left(md5(concat('23:', n_nationkey)), 7))::BIGINT / 268435456.0::DOUBLE AS u FROM nation) SELECT n_nationkey, min(worker) AS worker FROM u JOIN c ON u < hi GROUP BY 1""")
+def smp_lottery(spark, d):
+    """A worker drawn in proportion to its speed."""
+    from attune.operators.sampling import weighted_draw
+
+    w = table(spark, d, "supplier").where("s_acctbal > -999").select(F.col("s_suppkey").alias("worker"), (F.col("s_acctbal") + 1000).alias("speed"))
+    return weighted_draw(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", w, "worker", "speed", 23)

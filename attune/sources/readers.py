@@ -65,3 +65,17 @@ def read_log_range(spark: SparkSession, root: str, schema: str, first: str, last
 def leaderboard_value(cell: Column) -> Column:
     """A cell as number: '-' and text are null, a percent sign is dropped."""
     return F.when(cell != "-", F.replace(cell, F.lit("%"), F.lit("")).try_cast("double"))
+
+
+def parse_prompts(text: str) -> dict[str, str]:
+    """``name: template`` lines of a small configuration; quotes are dropped, written line ends become real."""
+    out = {}
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#") or ":" not in line:
+            continue
+        name, value = line.split(":", 1)
+        value = value.strip()
+        if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+            value = value[1:-1]
+        out[name.strip()] = value.replace("\\\\n", "\n").replace("\\n", "\n")
+    return out
