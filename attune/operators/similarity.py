@@ -78,9 +78,9 @@ def overlap(df: DataFrame, key: list[str], a: str, b: str, n: int) -> DataFrame:
 
     N-grams are counted per row and side in one aggregation over (key, n-gram).
     """
-    one = lambda c, x, y: df.select(*key, F.explode(ngrams(tokens(F.col(c)), n)).alias("g"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    counts = one(a, 1, 0).unionByName(one(b, 0, 1)).groupBy(*key, "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return counts.groupBy(*key).agg(F.sum("x").alias("na"), F.sum("y").alias("nb"), F.sum(F.least("x", "y")).alias("both"))
+    one = lambda c, x, y: df.select(*key, F.explode(ngrams(tokens(F.col(c)), n)).alias("_g"), F.lit(x).alias("_x"), F.lit(y).alias("_y"))
+    counts = one(a, 1, 0).unionByName(one(b, 0, 1)).groupBy(*key, "_g").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+    return counts.groupBy(*key).agg(F.sum("_x").alias("na"), F.sum("_y").alias("nb"), F.sum(F.least("_x", "_y")).alias("both"))
 
 
 def rouge_n(df: DataFrame, key: list[str], reference: str, candidate: str, n: int) -> DataFrame:
@@ -148,13 +148,13 @@ def self_bleu(df: DataFrame, group: list[str], key: str, text: str, order: int =
     """
     out = None
     for n in range(1, order + 1):
-        g = df.select(*group, key, F.explode(ngrams(tokens(F.col(text)), n)).alias("g")).groupBy(*group, key, "g").agg(F.count("*").alias("c"))
-        top = g.groupBy(*group, "g").agg(F.max("c").alias("m1"), F.sum((F.lit(1))).alias("owners"), F.max(F.struct("c", key)).alias("hi"))
-        rest = g.join(top.select(*group, "g", F.col(f"hi.{key}").alias("_o")), [*group, "g"]).where(F.col(key) != F.col("_o")).groupBy(*group, "g").agg(F.max("c").alias("m2"))
-        j = g.join(top, [*group, "g"]).join(rest, [*group, "g"], "left")
-        others = F.when(F.col(key) == F.col(f"hi.{key}"), F.coalesce("m2", F.lit(0))).otherwise(F.col("m1"))
-        p = j.groupBy(*group, key).agg(F.sum("c").alias("t"), F.sum(F.least(F.col("c"), others)).alias("b"))
-        p = p.select(*group, key, (F.when(F.col("b") > 0, F.col("b").cast("double")).otherwise(eps) / F.col("t")).alias(f"p{n}"))
+        g = df.select(*group, key, F.explode(ngrams(tokens(F.col(text)), n)).alias("_g")).groupBy(*group, key, "_g").agg(F.count("*").alias("_c"))
+        top = g.groupBy(*group, "_g").agg(F.max("_c").alias("_m1"), F.sum((F.lit(1))).alias("_n"), F.max(F.struct("_c", key)).alias("_hi"))
+        rest = g.join(top.select(*group, "_g", F.col(f"_hi.{key}").alias("_o")), [*group, "_g"]).where(F.col(key) != F.col("_o")).groupBy(*group, "_g").agg(F.max("_c").alias("_m2"))
+        j = g.join(top, [*group, "_g"]).join(rest, [*group, "_g"], "left")
+        others = F.when(F.col(key) == F.col(f"_hi.{key}"), F.coalesce("_m2", F.lit(0))).otherwise(F.col("_m1"))
+        p = j.groupBy(*group, key).agg(F.sum("_c").alias("_t"), F.sum(F.least(F.col("_c"), others)).alias("_b"))
+        p = p.select(*group, key, (F.when(F.col("_b") > 0, F.col("_b").cast("double")).otherwise(eps) / F.col("_t")).alias(f"p{n}"))
         out = p if out is None else out.join(p, [*group, key], "left")
     logs = sum((F.log(F.coalesce(F.col(f"p{n}"), F.lit(1.0))) for n in range(1, order + 1)), F.lit(0.0))
     return out.select(*group, key, F.exp(logs / order).alias("self_bleu"))
