@@ -119,7 +119,7 @@ def chain_steps(c: Column) -> Column:
 
 def between(c: Column, start: str, end: str) -> Column:
     """Text between two literal marks, trimmed; null if either is missing or nothing stands between."""
-    s = F.trim(F.substring_index(F.regexp_extract(c, rf"(?s)\Q{start}\E(.*?)\Q{end}\E", 1), "\x00", 1))
+    s = F.regexp_replace(F.regexp_extract(c, rf"(?s)\Q{start}\E(.*?)\Q{end}\E", 1), r"^\s+|\s+$", "")
     return F.when(s != "", s)
 
 

@@ -192,7 +192,7 @@ def _answers(spark, d):
 _GOOD = "result IS NOT NULL AND trim(result.reasoning) <> '' AND trim(replace(result.paraphrase, chr(10), '')) <> ''"
 
 
-@query(f"WITH {GENERATIONS}, a AS (SELECT gen_id, {_ANSWER} AS text FROM g WHERE {_GOOD}) SELECT gen_id, nullif(trim(regexp_extract(text, '(?s)Final Reasoning(.*?)Final Paraphrase', 1), ' '), '') AS out FROM a")
+@query(f"WITH {GENERATIONS}, a AS (SELECT gen_id, {_ANSWER} AS text FROM g WHERE {_GOOD}) SELECT gen_id, nullif(regexp_replace(regexp_extract(text, '(?s)Final Reasoning(.*?)Final Paraphrase', 1), '^\\s+|\\s+$', '', 'g'), '') AS out FROM a")
 def txt_between(spark, d):
     return _answers(spark, d).select("gen_id", X.between(_t(), "Final Reasoning", "Final Paraphrase").alias("out"))
 
