@@ -263,17 +263,28 @@ _SPLIT = re.compile(r"(?<=[.!?;:,])[\"'”»)\]]*\s+|[\r\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]]*\s+(?=\S)|[\r\n]+")
 _LETTER_RUN = re.compile(r"(?<![^\W\d_])(?:[^\W\d_#*][ ._\-·*]{1,3}){3,}[^\W\d_#*](?![^\W\d_])")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
-_LEETED = re.compile(r"[^\s.,;:?\"()]*[^\W\d_][^\s.,;:?\"()]*[@4310!5$7][^\s.,;:?\"()]*|[^\s.,;:?\"()]*[@4310!5$7][^\s.,;:?\"()]*[^\W\d_][^\s.,;:?\"()]*")
+_TOKEN = re.compile(r"[^\s.,;:?\"()]+")
+_LEET_SIGN = re.compile(r"[@4310!5$7]")
+_LETTER = re.compile(r"[^\W\d_]")
 _NUMBER = re.compile(r"\d+")
 _NOISE = re.compile(r"[^\w\s'’*#,-]+")
 
 
+def _unleet(m: re.Match) -> str:
+    """A token that mixes letters with the signs people write for them; handles and plain words stay."""
+    t = m[0]
+    bare = t.rstrip("!")
+    if t.startswith(("@user", "#")) or not _LEET_SIGN.search(t) or not _LETTER.search(t) or bare.isalpha():
+        return t
+    return bare.translate(_LEET)
+
+
 def read(text: str) -> str:
     """A clause as it is meant: look-alikes, spaced, repeated and leet letters resolved, in lower case."""
     s = flat(text)
     s = _LETTER_RUN.sub(lambda m: re.sub(r"[ ._\-·*]", "", m[0]), s)
     s = s.lower()
-    s = _LEETED.sub(lambda m: m[0] if m[0].startswith(("@user", "#")) or m[0].rstrip("!").isalnum() and m[0].rstrip("!").isalpha() else m[0].rstrip("!").translate(_LEET), s)
+    s = _TOKEN.sub(_unleet, s)
     s = _REPEAT.sub(r"\1", s)
     s = _NUMBER.sub("0", s)
     return " ".join(_NOISE.sub(" ", s).split())
