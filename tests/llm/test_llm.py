@@ -311,8 +311,7 @@ def test_abuse_edges(spark, detector):
 
 @pytest.fixture(scope="module")
 def classifier(spark):
-    rows = queries.table(spark, "/root/testdata/sf0.01", "paraphrase_generation").select("sentence", "result.reasoning", "result.paraphrase").collect()
-    return defects.train([tuple(r) for r in rows])
+    return defects.classifier(queries.table(spark, "/root/testdata/sf0.1", "paraphrase_generation"), "gen_id", "sentence", "result.reasoning", "result.paraphrase")
 
 
 def test_defects_held_out(classifier):
