@@ -14,16 +14,24 @@ def mean_std(df: DataFrame, group: list[str], columns: dict[str, str]) -> DataFr
 def distribution(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Mean, upper median, population std, quartiles, their range, and extremes. Nulls are ignored.
 
-    Percentiles are exact and built from counts per distinct value, which merge before the shuffle; the upper
-    median is the smallest value with more than half of the rows at or below it.
+    Quantiles are exact: rows are first counted per distinct value (partial sums before the shuffle), then a
+    running count, which sorts with spilling and keeps no group in memory, finds the values at the ranks that
+    each quantile interpolates between.
     """
-    q = lambda p: F.percentile(value, F.lit(p))
-    base = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (q(0.75) - q(0.25)).alias("iqr"), q(0.25).alias("p25"), q(0.75).alias("p75"), F.max(value).alias("high"), F.min(value).alias("low"), F.count(value).alias("_n"))
+    base = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max(value).alias("high"), F.min(value).alias("low"), F.count(value).alias("_n"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group).orderBy(value)
-    upto = counts.withColumn("_u", F.sum("_c").over(w)).join(base.select(*group, "_n"), group)
-    median = upto.where(F.col("_u") >= F.floor(F.col("_n") / 2) + 1).groupBy(*group).agg(F.min(value).alias("upper_median"))
-    return base.drop("_n").join(median, group, "left")
+    sized = counts.withColumns({"_u": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(*group))})
+    at = lambda rank: F.min(F.when(F.col("_u") > rank, F.col(value)))
+    n = F.col("_n")
+    ranks = {"_m": F.floor(n / 2)}
+    for q, p in (("p25", 0.25), ("p75", 0.75)):
+        ranks |= {f"_{q}l": F.floor((n - 1) * p), f"_{q}h": F.ceil((n - 1) * p)}
+    g = sized.groupBy(*group, "_n").agg(*[at(r).alias(k) for k, r in ranks.items()])
+    part = lambda q, p: F.col(f"_{q}l") + (F.col(f"_{q}h") - F.col(f"_{q}l")) * ((n - 1) * p - F.floor((n - 1) * p))
+    g = g.select(*group, F.col("_m").alias("upper_median"), part("p25", 0.25).alias("p25"), part("p75", 0.75).alias("p75"))
+    out = base.drop("_n").join(g, group, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
+    return out.select(*group, "mean", "upper_median", "std", "iqr", "p25", "p75", "high", "low")
 
 
 def count_columns(df: DataFrame, group: list[str], kind: str, kinds: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attune.operators import joins
+from attune.operators.ordering import row_index
 from attune.plans.base import CORPUS, GENERATIONS, RANKINGS, corpus, generations, rankings
 from attune.plans.registry import query, table
 
@@ -76,7 +77,7 @@ def jn_zip_assert(spark, d):
 def jn_dict_key_merge(spark, d):
     i = table(spark, d, "evaluation_items").select("item_id").distinct()
     j = i.join(table(spark, d, "documents").select("doc_id"), F.col("item_id") == F.col("doc_id"))
-    return j.withColumn("question_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long"))
+    return row_index(j, [F.col("item_id")], "question_id")
 
 
 @query(f"WITH {CORPUS}, {GENERATIONS}, {RANKINGS}, h AS (SELECT idx, avg(rank) AS human FROM r GROUP BY 1), k AS (SELECT idx, count(*) AS answers FROM g GROUP BY 1) SELECT c.idx, human, answers, label FROM c JOIN h USING (idx) JOIN k USING (idx) WHERE c.idx % 10 <> 0")

@@ -84,10 +84,11 @@ def arr_regroup_n(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.size(g).alias("groups"), F.aggregate(F.get(g, 1), F.lit(0.0), lambda a, x: a + x.cast("double")).alias("second"))
 
 
-@query("SELECT o_custkey, count(*) * (count(*) - 1) // 2 AS pairs FROM orders GROUP BY 1")
+@query(f"WITH {CORPUS} SELECT idx, (len(paraphrase) * (len(paraphrase) - 1) // 2)::BIGINT AS pairs FROM c WHERE paraphrase IS NOT NULL")
 def arr_triu(spark, d):
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k"))  # a customer's orders: few
-    return g.select("o_custkey", F.size(S.upper_triangle(F.col("k"))).cast("long").alias("pairs"))
+    """Pairs of a list's elements (here: of the rewrites)."""
+    c = corpus(spark, d).where("paraphrase IS NOT NULL")
+    return c.select("idx", F.size(S.upper_triangle(F.col("paraphrase"))).cast("long").alias("pairs"))
 
 
 _M = "m AS (SELECT idx, ranking FROM paraphrasing_human_evaluation_majority_voting QUALIFY row_number() OVER (PARTITION BY idx) = 1)"
