@@ -233,12 +233,12 @@ def chn_group_lists(spark, d):
     return spark.createDataFrame(rows, "kind STRING, name STRING").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH f AS ({_CHAIN.format('list_avg(hc)')}), i AS ({_CHAIN.format('(list_avg(hc) + list_avg(ch)) / 2')}), c AS ({_CHAIN.format('(1 + (1 + list_cosine_similarity(hv, cv)) / 2) / 2')}) SELECT f.vec_id, round((f.score + i.score) / 2, 6) AS sa, round(c.score, 6) AS ss FROM f JOIN i USING (vec_id) JOIN c USING (vec_id)""")
+@query(f"""WITH f AS ({_CHAIN.format('list_avg(hc)')}), i AS ({_CHAIN.format('(list_avg(hc) + list_avg(ch)) / 2')}), c AS ({_CHAIN.format('(1 + (1 + list_cosine_similarity(hv, cv)) / 2) / 2')}) SELECT f.vec_id, (f.score + i.score) / 2 AS sa, c.score AS ss FROM f JOIN i USING (vec_id) JOIN c USING (vec_id)""")
 def chn_summary5(spark, d):
     part = lambda n, o: F.array(*[F.slice("embedding", o + i * 8 + 1, 8) for i in range(n)])
     e = table(spark, d, "embeddings").select("vec_id", part(3, 0).alias("h"), part(2, 24).alias("c"), part(2, 40).alias("r"), F.slice("embedding", 1, 24).alias("hv"), F.slice("embedding", 25, 24).alias("cv"), F.slice("embedding", 33, 24).alias("rv"))
     s = chains.scores(e, "vec_id", "h", "c", "r", "hv", "cv", "rv")
-    return s.select("vec_id", F.round((F.col("faithfulness") + F.col("informativeness_step")) / 2, 6).alias("sa"), F.round("informativeness_chain", 6).alias("ss"))
+    return s.select("vec_id", ((F.round("faithfulness", 9) + F.round("informativeness_step", 9)) / 2).alias("sa"), F.round("informativeness_chain", 9).alias("ss"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, ('0x' || md5(concat('0:', vec_id))[1:7])::BIGINT / 268435456.0::DOUBLE AS s FROM embeddings), i AS (SELECT vec_id // 5 AS item, label, avg(s) AS s FROM e GROUP BY ALL),
