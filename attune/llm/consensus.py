@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attune.functions.names import canonical_name
@@ -41,6 +42,21 @@ def ratings(df: DataFrame, item: str, annotator: str, ranking: str, low: int, hi
     return pairs.groupBy("item", "annotator").agg(*each) if each else pairs.groupBy("item", "annotator").agg(F.count("*").alias("n")), labels
 
 
+def _agreeing(batches):
+    """Per row of (annotator, own scores, the others' scores): label pairs in the same order, and all untied."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = batch.num_rows
+        own, others = (np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) for c in (1, 2))
+        good, pairs = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i, j in itertools.combinations(range(own.shape[1]), 2):
+            d = np.round((own[:, i] - own[:, j]) * (others[:, i] - others[:, j]), 9)  # missing scores are NaN
+            good += d > 0
+            pairs += (d > 0) | (d < 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(pairs)], names=["annotator", "good", "pairs"])
+
+
 def _alpha(rated: DataFrame, k: int) -> DataFrame:
     """Krippendorff's alpha for ranks as interval values: chance-corrected and defined with missing ratings."""
     cells = F.array(*[F.struct(F.lit(i).alias("label"), F.col(f"r{i}").alias("x")) for i in range(k)])
@@ -55,7 +71,7 @@ def _alpha(rated: DataFrame, k: int) -> DataFrame:
 def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", ranking: str = "ranking", low: int = 1, high: int = 5, prior: float = 40.0, tol: float = 0.02, rounds: int = 15) -> Consensus:
     """Consensus ranking per item, reliability per annotator and agreement over all.
 
-    Alternates two steps until no weight moves by more than ``tol``: (1) an item's score of a label is the
+    Alternates two steps until no weight moves by more than ``tol`` of the largest: (1) an item's score of a label is the
     weighted mean of the annotators' centred ranks; (2) an annotator's accuracy is the share of label pairs
     put in the same order as the consensus of the *other* annotators of that item, smoothed by ``prior``
     pairs at the mean accuracy; its weight is the squared log-odds of that accuracy (a precision), none at or below chance.
@@ -74,6 +90,7 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
     wide = wide.withColumn("m", mean)
     rated = cut(wide.select("item", "annotator", *cols, *[(F.col("m") - F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]))
     weights = cut(rated.select("annotator").distinct().withColumn("w", F.lit(1.0)))
+    kind = rated.schema["annotator"].dataType.simpleString()
     n = 0
 
     def weighted(w: DataFrame) -> DataFrame:
@@ -91,9 +108,8 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
         y = x.join(sums(x).where("raters > 1"), "item")
         others = [F.when(F.col(f"n{i}") - F.col("w") > 1e-9, (F.col(f"t{i}") - F.col("w") * F.col(f"s{i}")) / (F.col(f"n{i}") - F.col("w"))) for i in range(k)]
         y = y.select("annotator", *[f"s{i}" for i in range(k)], *[o.alias(f"o{i}") for i, o in enumerate(others)])
-        signs: list[Column] = [F.signum(F.round((F.col(f"s{i}") - F.col(f"s{j}")) * (F.col(f"o{i}") - F.col(f"o{j}")), 9)) for i, j in itertools.combinations(range(k), 2)]
-        y = y.select("annotator", F.array(*signs).alias("g") if signs else F.array().cast("array<double>").alias("g"))
-        y = y.select("annotator", F.size(F.filter("g", lambda v: v > 0)).alias("good"), F.size(F.filter("g", lambda v: v != 0)).alias("pairs"))
+        pair = F.array(*[f"s{i}" for i in range(k)]), F.array(*[f"o{i}" for i in range(k)])
+        y = y.select("annotator", pair[0].alias("s"), pair[1].alias("o")).mapInArrow(_agreeing, f"annotator {kind}, good BIGINT, pairs BIGINT")
         stats = cut(y.groupBy("annotator").agg(F.sum("good").alias("good"), F.sum("pairs").alias("pairs"), F.count("*").alias("items")))
         total = stats.agg(F.sum("good").alias("g"), F.sum("pairs").alias("p")).first()
         base = (total["g"] or 0) / total["p"] if total["p"] else 0.5
@@ -101,9 +117,9 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
         new = weights.join(stats, "annotator", "left").select("annotator", F.col("w").alias("old"), "good", "pairs", "items", F.coalesce(accuracy, F.lit(base)).alias("accuracy"))
         new = new.withColumn("w", F.when(F.col("accuracy") > 0.5, F.pow(F.coalesce(F.log(F.col("accuracy") / (1 - F.col("accuracy") + 1e-9)), F.lit(0.0)), 2)).otherwise(0.0))
         stats = cut(new)
-        moved = stats.agg(F.max(F.abs(F.col("w") - F.col("old"))).alias("d")).first()["d"]
+        moved = stats.agg(F.max(F.abs(F.col("w") - F.col("old"))).alias("d"), F.max("w").alias("top")).first()
         weights = stats.select("annotator", "w")
-        if moved is None or moved < tol:
+        if moved["d"] is None or moved["d"] < tol * max(moved["top"], 1e-6):
             break
     empty = "annotator", "items", "pairs", "accuracy", "w"
     if stats is None:
