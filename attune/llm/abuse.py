@@ -404,11 +404,12 @@ def detector(df: DataFrame, words: DataFrame, sentence: str, rewrites: str, key:
     return train([r[0] for r in rows], [t for r in rows for t in (r[1] or [])], listed, seed=seed)
 
 
-def scored(df: DataFrame, model: Detector, key: str, sentence: str, rewrites: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def scored(df: DataFrame, model: Detector, key: str, sentence: str, rewrites: str, extra: tuple[str, ...] = (), rows: int = 500) -> DataFrame:
     """key, ``extra``, and the scores of the sentence and of the worst rewrite (null where there is no text).
 
     A score above zero is a case. Whole texts are read; the corpus is only mapped over. Repeated rows give
-    a row each; the model (a few MB whatever the corpus) is broadcast.
+    a row each; the model (a few MB whatever the corpus) is broadcast. ``rows`` at a time are scored, which
+    bounds a worker's memory.
     """
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -418,15 +419,17 @@ def scored(df: DataFrame, model: Detector, key: str, sentence: str, rewrites: st
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            n = len(cols)
-            one, many = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            owner = [i for i, p in enumerate(many) for _ in p or []]
-            texts = [t for p in many for t in p or []]
-            s = sent.value.score(one + texts)
-            worst = np.full(len(many), -np.inf)
-            np.maximum.at(worst, np.array(owner, np.int64), s[len(one) :])
-            arrays = [pa.array(np.where(np.isfinite(x), x, np.nan), pa.float64(), from_pandas=True) for x in (s[: len(one)], worst)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*cols, "sentence_score", "rewrite_score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                n = len(cols)
+                one, many = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
+                owner = [i for i, p in enumerate(many) for _ in p or []]
+                texts = [t for p in many for t in p or []]
+                s = sent.value.score(one + texts)
+                worst = np.full(len(many), -np.inf)
+                np.maximum.at(worst, np.array(owner, np.int64), s[len(one) :])
+                arrays = [pa.array(np.where(np.isfinite(x), x, np.nan), pa.float64(), from_pandas=True) for x in (s[: len(one)], worst)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*cols, "sentence_score", "rewrite_score"])
 
     return spread(df.select(*cols, F.col(sentence), F.col(rewrites).cast("array<string>"))).mapInArrow(run, schema)

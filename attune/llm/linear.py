@@ -39,7 +39,9 @@ def grams(texts: list[str], sizes: tuple[int, ...], bits: int, salt: int = 0) ->
 
 def distinct(rows: np.ndarray, feats: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each feature once per text."""
-    key = np.unique((rows << bits) | feats)
+    key = (rows << bits) | feats
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     return key >> bits, key & ((1 << bits) - 1)
 
 
