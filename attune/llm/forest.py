@@ -157,7 +157,8 @@ def similar(df: DataFrame, key: str = "id", vector: str = "vector", dim: int = 9
     ``least`` leaves out neighbours below that cosine. The forest is fitted on at most about ``sample_rows``
     rows picked by a hash of the key and then indexes every row. Per tree each row is shuffled once, as a
     16-byte head and one byte per dimension, packed into one binary per bucket and batch; buckets are ranges
-    of hash strings of about ``rows_per_bucket`` rows cut at quantiles of the sample, so they stay balanced
+    of hash strings of about ``rows_per_bucket`` rows (more, once the sample could not place the borders: raise
+    ``sample_rows`` with billions of rows) cut at quantiles of the sample, so they stay balanced
     when the data are skewed, and a string that alone fills several buckets is dealt out over them. Nothing
     quadratic is built: a row meets 2 to 4 ``block`` others per tree. The winners' cosines are computed
     exactly from the original vectors.
@@ -175,7 +176,8 @@ def similar(df: DataFrame, key: str = "id", vector: str = "vector", dim: int = 9
     _, sample, _ = units(batches[0], dim) if batches else (None, np.empty((0, dim), np.float32), None)
     if len(sample) < 2:
         sample = np.vstack([sample, np.eye(dim, dtype=np.float32)[:2]])
-    buckets = max(1, -(-total // rows_per_bucket))
+    # eight sampled strings a border at least; past that buckets grow instead
+    buckets = max(1, min(-(-total // rows_per_bucket), sample_rows // 8))
     model = fit(sample, trees, buckets, width, seed)
     shared = spark.sparkContext.broadcast(model)  # a few hundred kB, whatever the size of the data
 
