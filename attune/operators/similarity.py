@@ -41,6 +41,44 @@ def mean_pool(tokens: Column, mask: Column, dim: int) -> Column:
     return F.when((F.size(kept) > 0) & (n > 0), F.transform(total, lambda x: x / n))
 
 
+def pairwise_summary(df: DataFrame, group: str, key: str, vector: str, block: int = 2_000) -> DataFrame:
+    """Mean, population deviation, least and largest cosine over all pairs inside each group.
+
+    Pairs are never rows: a group is dealt into blocks by key, each pair of blocks is one bounded task that
+    multiplies two matrices and gives five sums, so a hot group becomes many tasks. Null and zero vectors are
+    left out, as are rows without a group and groups with fewer than two vectors.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    usable = df.where(F.col(vector).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
+    size = usable.groupBy("_g").agg(F.ceil(F.count("*") / block).cast("int").alias("_b"))
+    dealt = usable.join(size, "_g").select("_g", "_v", "_b", F.pmod(F.xxhash64("_k"), F.col("_b")).cast("int").alias("_i"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_j")
+    cells = dealt.select("_g", "_v", "_i", other).select("_g", "_v", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), (F.col("_i") <= F.col("_j")).alias("_first"))
+
+    def run(key_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        def unit(v: pd.Series) -> np.ndarray:
+            x = np.array(v.tolist(), float).reshape(len(v), -1)
+            n = np.linalg.norm(x, axis=1)
+            return x[n > 0] / n[n > 0, None]
+
+        _, lo, hi = key_
+        if lo == hi:
+            x = unit(g["_v"])
+            c = (x @ x.T)[np.triu_indices(len(x), 1)]
+        else:
+            c = (unit(g.loc[g["_first"], "_v"]) @ unit(g.loc[~g["_first"], "_v"]).T).ravel()
+        if not len(c):
+            return pd.DataFrame({"_g": [key_[0]], "n": [0], "s": [0.0], "q": [0.0], "lo": [0.0], "hi": [0.0]})
+        return pd.DataFrame({"_g": [key_[0]], "n": [len(c)], "s": [c.sum()], "q": [(c * c).sum()], "lo": [c.min()], "hi": [c.max()]})
+
+    sums = cells.groupBy("_g", "_lo", "_hi").applyInPandas(run, f"_g {kind}, n BIGINT, s DOUBLE, q DOUBLE, lo DOUBLE, hi DOUBLE")
+    t = sums.where("n > 0").groupBy(F.col("_g").alias(group)).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"), F.min("lo").alias("low"), F.max("hi").alias("high"))
+    mean = F.col("_s") / F.col("_n")
+    return t.select(group, mean.alias("mean"), F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("std"), "low", "high")
+
+
 def topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, text: str, n: int, slack: int = 3, label: str | None = None, strict: bool = False) -> DataFrame:
     """The n nearest corpus rows of each query by cosine: query key, key, cosine, place.
 

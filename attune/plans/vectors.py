@@ -34,10 +34,7 @@ def sim_levenshtein(spark, d):
 SELECT label, avg(c) AS mean, stddev_pop(c) AS std, min(c) AS low, max(c) AS high FROM p GROUP BY 1""".replace(" WHERE a.vec_id < 200 AND b.vec_id < 200", ""))
 def sim_cosine_pairs(spark, d):
     """Cosines of all pairs inside a label: mean, deviation and extremes."""
-    e = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    a, b = (e.select("label", F.col("vec_id").alias(f"i{s}"), F.col("embedding").alias(f"v{s}")) for s in "ab")
-    c = a.join(b, "label").where("ia < ib").select("label", similarity.cosine(F.col("va"), F.col("vb")).alias("c"))
-    return c.groupBy("label").agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return similarity.pairwise_summary(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query(f"WITH {_PAIR}, {_grams(1)}, {_grams(2)}, f AS (SELECT o1.gen_id, CASE WHEN o1.both > 0 THEN 2 * (o1.both / o1.na) * (o1.both / o1.nb) / (o1.both / o1.na + o1.both / o1.nb) ELSE 0 END AS rouge1, CASE WHEN o2.both > 0 THEN 2 * (o2.both / o2.na) * (o2.both / o2.nb) / (o2.both / o2.na + o2.both / o2.nb) ELSE 0 END AS rouge2 FROM o1 LEFT JOIN o2 USING (gen_id)) SELECT gen_id, rouge1, rouge2 FROM f")

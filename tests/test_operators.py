@@ -214,6 +214,17 @@ def test_topk_rules(spark):
     assert col(legacy, "id") == [] and col(strict, "id") == [9]
 
 
+def test_pairwise_summary_in_blocks_equals_one_block(spark):
+    rng = random.Random(4)
+    rows = [("g", i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [("g", 99, [0.0] * 4), ("g", 98, None), ("lone", 1, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "g STRING, i INT, v ARRAY<DOUBLE>")
+    one = {r["g"]: r for r in similarity.pairwise_summary(df, "g", "i", "v").collect()}
+    many = {r["g"]: r for r in similarity.pairwise_summary(df, "g", "i", "v", block=20).collect()}
+    assert set(one) == set(many) == {"g"}
+    for c in ("mean", "std", "low", "high"):
+        assert one["g"][c] == pytest.approx(many["g"][c])
+
+
 def test_self_bleu_equals_pairs(spark):
     texts = ["a b a b", "a b c", "d e", ""]
     df = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "g STRING, i INT, t STRING")
