@@ -151,7 +151,7 @@ def neighbours(strings: np.ndarray, ids: np.ndarray, codes: np.ndarray, k: int,
     return a[once], b[once], s[once]
 
 
-def similar(df: DataFrame, key: str = "id", vector: str = "vector", dim: int = 96, k: int = 5, least: float = -1.0, trees: int = 14, block: int = 1024, rows_per_bucket: int = 50_000, width: int = 32, sample_rows: int = 16_384, seed: int = 7) -> DataFrame:
+def similar(df: DataFrame, key: str = "id", vector: str = "vector", dim: int = 96, k: int = 5, least: float = -1.0, trees: int = 14, block: int = 1024, rows_per_bucket: int = 25_000, width: int = 32, sample_rows: int = 16_384, seed: int = 7) -> DataFrame:
     """The k most similar other rows of every usable row, as (key, other, cosine, place).
 
     ``least`` leaves out neighbours below that cosine. The forest is fitted on at most about ``sample_rows``
