@@ -128,6 +128,47 @@ def test_forest_deals_out_a_hot_string():
     assert size.max() < 450
 
 
+def hot_group(share, noise, rows=6000, dim=24):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((rows, dim))
+    m = int(rows * share)
+    x[:m] = x[0] + noise * rng.standard_normal((m, dim))
+    return x.astype(np.float32), m
+
+
+@pytest.mark.parametrize("share,noise", [(0.4, 0.003), (0.4, 0.02), (0.2, 0.001)])
+def test_forest_recall_in_a_hot_group_of_distinct_near_vectors(spark, share, noise):
+    x, m = hot_group(share, noise)
+    got = {(r["id"], r["other"]) for r in forest.similar(vectors(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]), dim=24, k=3, least=0.8, block=64, rows_per_bucket=1000).where(f"id < {m}").collect()}
+    u = x[:m].astype(float) / np.linalg.norm(x[:m].astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    # any row as near as the third counts, as such cosines are equal up to rounding
+    third = -np.partition(-s, 2, axis=1)[:, 2]
+    assert sum(s[a, b] >= third[a] for a, b in got) / (3 * m) > 0.9
+
+
+def test_forest_splits_a_hot_string_by_tree():
+    x, m = hot_group(0.4, 1e-5)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = forest.fit(x, 2, 12, 16, 1, 0.1)
+    ids = np.arange(len(x))
+    a, b = (model.bucket(model.strings(x, t), ids, t, x)[:m] for t in range(2))
+    assert len(np.unique(a)) > 1 and len(np.unique(b)) > 1
+    assert np.bincount(a).max() < 2 * len(x) / 12
+    assert len(np.unique(np.stack([a, b]), axis=1).T) > max(len(np.unique(a)), len(np.unique(b)))
+
+
+def test_forest_windows_reach_over_borders():
+    x, _ = hot_group(0, 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = forest.fit(x, 2, 6, 16, 1, 0.1)
+    strings = model.strings(x, 0)
+    rows, above = model.guests(strings, 0)
+    assert 5 * 90 <= len(rows) <= 5 * 110
+    assert (above == model.bucket(strings, np.arange(len(x)), 0)[rows] + 1).all()
+
+
 # 6
 
 
