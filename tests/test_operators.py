@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from attune.functions import python_text, scalars
 from attune.functions import text as X
 from attune.operators import agreement, arena, inference, joins, ordering, pairs, profanity, ranks, sampling, sets, similarity, stats, summaries
+from attune.plans import base, catalog
+from tests.parity import connect, plain, rows_of_sql
 
 BATTLE = "a STRING, b STRING, result INT"
 
@@ -267,6 +270,28 @@ def test_kappa_and_information(spark):
     assert agreement.mutual_information(xy, "x", "y").first()["mi"] == pytest.approx(math.log(2))
 
 
+def test_kappa_of_all_annotators(spark, small):
+    """Every pair by brute force; the SQL's annotators within it equal the SQL."""
+    rated = {}
+    for r in base.rankings(spark, small).collect():
+        rated.setdefault(r["user_id"], {}).setdefault((r["idx"], r["model"]), set()).add(r["rank"])
+    want = {}
+    for a, b in itertools.combinations(sorted(rated), 2):
+        both = [(x, y) for k in rated[a].keys() & rated[b].keys() for x in rated[a][k] for y in rated[b][k]]
+        if not both:
+            continue
+        n = len(both)
+        po = sum(x == y for x, y in both) / n
+        ca, cb = (Counter(p[i] for p in both) for i in (0, 1))
+        pe = sum(ca[v] * cb[v] for v in ca) / n**2
+        want[a, b] = (po - pe) / (1 - pe) if pe < 1 else None
+    got = {(r["a"], r["b"]): r["kappa"] for r in catalog.QUERIES["agg_kappa_cohen"](spark, small).collect()}
+    assert got.keys() == want.keys() and any(a > 3 or b > 6 for a, b in got)
+    assert all(got[k] == (None if w is None else pytest.approx(w)) for k, w in want.items())
+    inside = sorted((a, b, plain(k)) for (a, b), k in got.items() if a <= 3 and b <= 6)
+    assert inside == sorted(rows_of_sql(connect(small), catalog.ORACLES["agg_kappa_cohen"])[1])
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 3.0, 4.0, None)], "g STRING, v DOUBLE")
     r = summaries.distribution(df, ["g"], "v").first()
