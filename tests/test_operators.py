@@ -292,6 +292,14 @@ def test_kappa_of_all_annotators(spark, small):
     assert inside == sorted(rows_of_sql(connect(small), catalog.ORACLES["agg_kappa_cohen"])[1])
 
 
+def test_composite_keys_of_all_lines(spark, small):
+    got = {r["k"]: r["n"] for r in catalog.QUERIES["jn_composite_key"](spark, small).collect()}
+    want = Counter(f"{r[0]}\t{r[1]}" for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect())
+    assert got == want
+    inside = sorted((k, n) for k, n in got.items() if int(k.split("\t")[1]) <= 2)
+    assert inside == sorted(rows_of_sql(connect(small), catalog.ORACLES["jn_composite_key"])[1])
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 3.0, 4.0, None)], "g STRING, v DOUBLE")
     r = summaries.distribution(df, ["g"], "v").first()
