@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 URL = r"https?://\S+|www\.\S+"
 HANDLE = r"@\S+"
-WORD = r"\b\w+(?:['-]\w+)*\b|[^\w\s]"
+# Letters and blanks of every script as Python's \w and \s have them; the JVM's own classes are ASCII.
+LETTER = r"\p{L}\p{N}_"
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = rf"[{LETTER}]+(?:['-][{LETTER}]+)*|[^{LETTER}{BLANK}]"
+MARK = r"^[!-/:-@\[-^`{-~]+\z"
 CONTRACTIONS = (("can 't", "can't"), ("i 'm", "i'm"), (" n't", "n't"), (" 've", "'ve"), (" 're", "'re"), (" 'll", "'ll"), (" 'd", "'d"), (" 's", "'s"))
 NEGATIONS = ("not", "no", "nor", "against", "never", "none", "nobody", "nothing", "nowhere", "neither", "without", "scarcely", "hardly", "barely")
 STOP_WORDS = ("a", "an", "the", "and", "or", "but", "if", "of", "at", "by", "for", "with", "to", "from", "in", "on", "is", "are", "was", "were", "be", "been", "so", "as", "than", "then", "that", "this", "these", "those", "has", "have", "had", "do", "does", "did")
@@ -98,9 +102,9 @@ def word_tokens(c: Column) -> Column:
 
 
 def irrelevant(w: Column) -> Column:
-    """Whether a token says nothing: stop word (case matters, negations count), mark, number or pronoun."""
+    """Whether a token says nothing: stop word (case matters, negations count), ASCII mark, number or pronoun."""
     stop = w.isin(*[s for s in STOP_WORDS if s not in NEGATIONS])
-    return stop | w.rlike(r"^[^\w\s]+$") | w.rlike(r"^-?\d+(\.\d+)?$") | F.lower(w).isin(*PRONOUNS)
+    return stop | w.rlike(MARK) | w.rlike(r"^-?\p{Nd}+(\.\p{Nd}+)?\z") | F.lower(w).isin(*PRONOUNS)
 
 
 def contains_cjk(c: Column) -> Column:
@@ -109,12 +113,13 @@ def contains_cjk(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences: cut at line ends and after .!? before a blank; no empty ones."""
-    return F.filter(F.transform(F.split(c, r"[\r\n]+|(?<=[.!?])\s+"), lambda t: F.trim(t)), lambda t: t != "")
+    parts = F.split(c, rf"[\r\n]+|(?<=[.!?])[{BLANK}]+")
+    return F.filter(F.transform(parts, lambda t: F.regexp_replace(t, rf"^[{BLANK}]+|[{BLANK}]+\z", "")), lambda t: t != "")
 
 
 def chain_steps(c: Column) -> Column:
-    """Steps of a reasoning chain: sentences without trailing dots and blanks, no empty ones."""
-    return F.filter(F.transform(sentences(c), lambda t: F.regexp_replace(t, r"[. ]+$", "")), lambda t: t != "")
+    """Steps of a reasoning chain: sentences without trailing dots and blanks, tabs as blanks, no empty ones."""
+    return F.filter(F.transform(sentences(c), lambda t: F.regexp_replace(F.translate(t, "\t", " "), r"[. ]+\z", "")), lambda t: t != "")
 
 
 def between(c: Column, start: str, end: str) -> Column:

@@ -94,14 +94,10 @@ def txt_clean_all(spark, d):
 _ASCII = "doc_id IN (SELECT doc_id FROM documents WHERE regexp_full_match(text, '[ -~\\n\\r\\t]*'))"
 
 
-def _ascii(spark, d):
-    return _docs(spark, d).where(_t().rlike(r"^[ -~\n\r\t]*\z"))
-
-
 @query(rf"""SELECT doc_id, array_to_string(regexp_extract_all(text, '\b\w+(?:[''-]\w+)*\b|[^\w\s]'), ' ') AS out FROM documents WHERE {_ASCII}""")
 def txt_word_tokens(spark, d):
-    """Word tokens of the texts in plain ASCII (in others the engines' word classes differ)."""
-    return _ascii(spark, d).select("doc_id", F.array_join(X.word_tokens(_t()), " ").alias("out"))
+    """Word tokens of all texts; the SQL covers plain ASCII (in others the engines' word classes differ)."""
+    return _docs(spark, d).where(_t().isNotNull()).select("doc_id", F.array_join(X.word_tokens(_t()), " ").alias("out"))
 
 
 @query()
@@ -112,7 +108,8 @@ def txt_token_offsets(spark, d):
 @query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b\w+(?:[''-]\w+)*\b|[^\w\s]')) AS w FROM documents WHERE {_ASCII})
 SELECT doc_id, count(*) FILTER (w IN ({','.join(repr(s) for s in X.STOP_WORDS)}) OR regexp_full_match(w, '[^\w\s]+') OR regexp_full_match(w, '-?\d+(\.\d+)?') OR lower(w) IN ({','.join(repr(s) for s in X.PRONOUNS)})) AS irrelevant, count(*) AS n FROM t GROUP BY 1""")
 def txt_irrelevant_word(spark, d):
-    t = _ascii(spark, d).select("doc_id", F.explode(X.word_tokens(_t())).alias("w"))
+    """Irrelevant and all word tokens of every text that has any; the SQL covers plain ASCII."""
+    t = _docs(spark, d).select("doc_id", F.explode(X.word_tokens(_t())).alias("w"))
     return t.groupBy("doc_id").agg(F.count(F.when(X.irrelevant(F.col("w")), 1)).alias("irrelevant"), F.count("*").alias("n"))
 
 
@@ -171,13 +168,15 @@ def txt_split_sentences(spark, d):
 
 @query(r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[\r\n]+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))::BIGINT AS n FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\n\r]*')")
 def txt_sent_tokenize(spark, d):
-    return _docs(spark, d).where(_t().rlike(r"^[ -~\n\r]*\z")).select("doc_id", F.size(X.sentences(_t())).cast("long").alias("n"))
+    """Number of sentences of every text; the SQL covers plain ASCII without tabs."""
+    return _docs(spark, d).where(_t().isNotNull()).select("doc_id", F.size(X.sentences(_t())).cast("long").alias("n"))
 
 
 @query(f"""WITH {GENERATIONS} SELECT gen_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(result.reasoning, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(trim(s), '[. ]+$', '')), lambda s: s <> ''), '|') AS out FROM g WHERE result.reasoning IS NOT NULL AND regexp_full_match(result.reasoning, '[ -~]*')""")
 def txt_chain_normalise(spark, d):
+    """Steps of every reasoning; the SQL covers plain ASCII in one line."""
     r = F.col("result.reasoning")
-    return generations(spark, d).where(r.rlike(r"^[ -~]*\z")).select("gen_id", F.array_join(X.chain_steps(r), "|").alias("out"))
+    return generations(spark, d).where(r.isNotNull()).select("gen_id", F.array_join(X.chain_steps(r), "|").alias("out"))
 
 
 _ANSWER = "'Final Reasoning' || chr(10) || result.reasoning || chr(10) || 'Final Paraphrase: ' || replace(result.paraphrase, chr(10), ' ')"
@@ -266,9 +265,10 @@ def txt_parse_scores_n(spark, d):
 
 @query("SELECT doc_id, CASE WHEN ('0x' || left(md5(concat('17:', doc_id)), 7))::BIGINT % 2 = 0 THEN upper(text) ELSE lower(text) END AS out FROM documents WHERE regexp_full_match(text, '[ -~\\n\\r\\t]*')")
 def txt_random_case(spark, d):
+    """Every text in upper or lower case; the SQL covers plain ASCII (in others the engines' case rules differ)."""
     from attune.operators.sampling import whole
 
-    return _ascii(spark, d).select("doc_id", F.when(whole(F.col("doc_id"), 17) % 2 == 0, F.upper(_t())).otherwise(F.lower(_t())).alias("out"))
+    return _docs(spark, d).where(_t().isNotNull()).select("doc_id", F.when(whole(F.col("doc_id"), 17) % 2 == 0, F.upper(_t())).otherwise(F.lower(_t())).alias("out"))
 
 
 @query("SELECT n_nationkey, n_name AS name FROM nation")

@@ -1,6 +1,9 @@
+import hashlib
 import itertools
 import math
 import random
+import re
+import string
 from collections import Counter
 
 import pytest
@@ -300,6 +303,56 @@ def test_composite_keys_of_all_lines(spark, small):
     assert inside == sorted(rows_of_sql(connect(small), catalog.ORACLES["jn_composite_key"])[1])
 
 
+def python_sentences(t):
+    return [x for x in (p.strip() for p in re.split(r"[\r\n]+|(?<=[.!?])\s+", t)) if x]
+
+
+def python_tokens(t):
+    return re.findall(r"\b\w+(?:['-]\w+)*\b|[^\w\s]", t)
+
+
+def python_irrelevant(w):
+    return (w in X.STOP_WORDS and w not in X.NEGATIONS) or (w in string.punctuation and w != "_") or bool(re.fullmatch(r"-?\d+(\.\d+)?", w)) or w.lower() in X.PRONOUNS
+
+
+UNTIDY = ["Café déjà-vu — ça va? Ούτος ΣΑΣ.\tİstanbul straße ½ x² 🙂👍🏽 “don't”", "a.\u00a0b!\u2003c\n\t\nd", "naïve e\u0301 \u0663 3.5 _ ٣ I HE", "Step one.\tStep\ttwo.. \u00a0\n . \nFin é. ", " \t ", ""]
+
+
+def test_text_functions_of_every_script_equal_python(spark):
+    rows = spark.createDataFrame([(t,) for t in UNTIDY], "t STRING")
+    got = {r[0]: r[1:] for r in rows.select("t", X.word_tokens(F.col("t")), F.filter(X.word_tokens(F.col("t")), X.irrelevant), X.sentences(F.col("t")), X.chain_steps(F.col("t"))).collect()}
+    for t in UNTIDY:
+        steps = [re.sub(r"[. ]+$", "", s.replace("\t", " ")) for s in python_sentences(t)]
+        assert got[t] == (python_tokens(t), [w for w in python_tokens(t) if python_irrelevant(w)], python_sentences(t), [s for s in steps if s])
+
+
+@pytest.mark.parametrize("name", ["txt_word_tokens", "txt_irrelevant_word", "txt_random_case", "txt_sent_tokenize", "txt_chain_normalise", "udf_batch_model"])
+def test_texts_of_every_script(spark, small, name):
+    """All rows by brute force; the SQL's rows within them equal the SQL."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect() if r["text"] is not None}
+    gens = {r["gen_id"]: r["result"] for r in base.generations(spark, small).collect() if r["result"] is not None}
+    steps = lambda t: [s for s in (re.sub(r"[. ]+$", "", s.replace("\t", " ")) for s in python_sentences(t)) if s]
+    even = lambda k: int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:7], 16) % 2 == 0
+    want = {
+        "txt_word_tokens": lambda: {k: (" ".join(python_tokens(t)),) for k, t in docs.items()},
+        "txt_irrelevant_word": lambda: {k: (sum(map(python_irrelevant, w)), len(w)) for k, t in docs.items() if (w := python_tokens(t))},
+        "txt_random_case": lambda: {k: (t.upper() if even(k) else t.lower(),) for k, t in docs.items()},
+        "txt_sent_tokenize": lambda: {k: (len(python_sentences(t)),) for k, t in docs.items()},
+        "txt_chain_normalise": lambda: {k: ("|".join(steps(r["reasoning"])),) for k, r in gens.items() if r["reasoning"] is not None},
+        "udf_batch_model": lambda: {k: ("S: " + " ".join(reversed(r["paraphrase"].split())),) for k, r in gens.items() if r["paraphrase"] is not None},
+    }[name]()
+    df = catalog.QUERIES[name](spark, small)
+    key = "gen_id" if "gen_id" in df.columns else "doc_id"
+    values = [c for c in df.columns if c != key]
+    got = {r[key]: tuple(r[c] for c in values) for r in df.collect()}
+    assert got == want
+    columns, rows = rows_of_sql(connect(small), catalog.ORACLES[name])
+    assert 0 < len(rows) < len(got)
+    for r in rows:
+        r = dict(zip(columns, r, strict=True))
+        assert got[r[key]] == tuple(r[c] for c in values)
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 3.0, 4.0, None)], "g STRING, v DOUBLE")
     r = summaries.distribution(df, ["g"], "v").first()
