@@ -146,13 +146,25 @@ def txt_contains_profanity(spark, d):
 w AS (SELECT lower(word) AS word FROM profanity_wordlist WHERE length(word) <= 5), r AS (SELECT word, '' AS s, 0 AS n FROM w UNION ALL SELECT r.word, r.s || u.c, r.n + 1 FROM r, LATERAL (SELECT unnest(coalesce((SELECT v FROM m WHERE k = substr(r.word, r.n + 1, 1)), [substr(r.word, r.n + 1, 1)])) AS c) u WHERE r.n < length(r.word))
 SELECT DISTINCT word, s AS variant FROM r WHERE n = length(word)""")
 def txt_variants(spark, d):
-    """All spellings of short words under a look-alike table, built by a fold over the letters."""
+    """All spellings of every word under a look-alike table; the SQL covers words of at most 5 letters.
+
+    A spelling is a number whose digits choose the letters. The numbers are dealt out over rows in runs, so no
+    array holds more than ``run`` of them however long the word.
+    """
     table_ = {"a": "a@*4", "i": "i*l1", "o": "o*0@", "e": "e*3", "s": "s$5", "t": "t7"}
-    w = table(spark, d, "profanity_wordlist").where(F.length("word") <= 5).select(F.lower("word").alias("word"))
-    letters = F.split("word", "")
+    run = 4096
     options = lambda c: F.coalesce(*[F.when(c == k, F.array(*[F.lit(x) for x in v])) for k, v in table_.items()], F.array(c))
-    grown = F.aggregate(letters, F.array(F.lit("")), lambda acc, c: F.flatten(F.transform(acc, lambda s: F.transform(options(c), lambda o: F.concat(s, o)))))
-    return w.select("word", F.explode(grown).alias("variant")).distinct()
+    w = table(spark, d, "profanity_wordlist").where("word IS NOT NULL").select(F.lower("word").alias("word")).distinct()
+    w = w.withColumn("o", F.transform(F.split("word", ""), options))
+    w = w.withColumn("n", F.aggregate("o", F.lit(1).cast("long"), lambda n, x: n * F.size(x)))
+    # runs in blocks of runs, so that their own array stays small as well
+    w = w.select("word", "o", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) DIV {run * run}"))).alias("far"))
+    runs = lambda c, end: F.explode(F.sequence(F.col(c) * run, F.least(F.col(c) * run + (run - 1), end)))
+    w = w.select("word", "o", "n", runs("far", F.expr(f"(n - 1) DIV {run}")).alias("near")).repartition("word", "near")
+    w = w.select("word", "o", runs("near", F.col("n") - 1).alias("at"))
+    start = F.struct(F.lit("").alias("s"), F.col("at").alias("rest"))
+    pick = lambda acc, x: F.struct(F.concat(acc["s"], F.get(x, (acc["rest"] % F.size(x)).cast("int"))).alias("s"), ((acc["rest"] - acc["rest"] % F.size(x)) / F.size(x)).cast("long").alias("rest"))
+    return w.select("word", F.aggregate("o", start, pick)["s"].alias("variant"))
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(text, '[一-鿿]'), false) AS cjk FROM documents")

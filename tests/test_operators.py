@@ -353,6 +353,19 @@ def test_texts_of_every_script(spark, small, name):
         assert got[r[key]] == tuple(r[c] for c in values)
 
 
+def test_variants_of_words_of_any_length(spark, small, tmp_path):
+    table = {"a": "a@*4", "i": "i*l1", "o": "o*0@", "e": "e*3", "s": "s$5", "t": "t7"}
+    spell = lambda w: {(w, "".join(x)) for x in itertools.product(*[table.get(c, c) for c in w])}
+    words = {r["word"].lower() for r in spark.read.parquet(f"{small}/profanity_wordlist.parquet").collect() if r["word"]}
+    got = [tuple(r) for r in catalog.QUERIES["txt_variants"](spark, small).select("word", "variant").collect()]
+    assert len(got) == len(set(got)) and set(got) == set().union(*map(spell, words))
+    columns, rows = rows_of_sql(connect(small), catalog.ORACLES["txt_variants"])
+    assert columns == ["variant", "word"] and {(w, v) for v, w in rows} == {x for x in got if len(x[0]) <= 5}
+    spark.createDataFrame([("Aioaioab",), ("",), (None,)], "word STRING").write.parquet(f"{tmp_path}/profanity_wordlist.parquet")
+    many = [tuple(r) for r in catalog.QUERIES["txt_variants"](spark, str(tmp_path)).where("word <> ''").select("word", "variant").collect()]
+    assert len(many) == 4**7 and set(many) == spell("aioaioab")
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, 2.0, 3.0, 4.0, None)], "g STRING, v DOUBLE")
     r = summaries.distribution(df, ["g"], "v").first()
