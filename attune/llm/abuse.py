@@ -291,17 +291,24 @@ def read(text: str) -> str:
 
 
 def units(text: str | None) -> list[str]:
-    """Clauses and sentences of a whole text, as read; none for null, empty and wordless texts."""
+    """Clauses and sentences of a whole text, as read; none for null, empty and wordless texts.
+
+    A sentence of more than six clauses counts as its overlapping runs of six.
+    """
     if not text:
         return []
     out = []
     for sentence in _SENTENCE.split(text):
         if not sentence.strip():
             continue
-        parts = [p for p in _SPLIT.split(sentence) if p.strip()]
-        out += [read(p) for p in parts]
-        if 1 < len(parts) <= 6:
+        ends = [(m.start(), m.end()) for m in _SPLIT.finditer(sentence)]
+        spans = list(zip([0, *(e for _, e in ends)], [*(b for b, _ in ends), len(sentence)], strict=True))
+        spans = [(a, b) for a, b in spans if sentence[a:b].strip()]
+        out += [read(sentence[a:b]) for a, b in spans]
+        if 1 < len(spans) <= 6:
             out.append(read(sentence))
+        elif len(spans) > 6:
+            out += [read(sentence[spans[i][0] : spans[i + 5][1]]) for i in range(len(spans) - 5)]
     return [u for u in dict.fromkeys(out) if u]
 
 

@@ -342,6 +342,14 @@ def test_abuse_held_out_wording(detector):
     assert (s[: len(bad)] > 0).all() and (s[len(bad) :] <= 0).all()
 
 
+def test_long_sentences_are_read_in_runs():
+    clauses = [f"part number{c}," for c in "abcdefgh"]
+    got = abuse.units(" ".join(clauses))
+    runs = [abuse.read(" ".join(clauses[i : i + 6])) for i in range(3)]
+    assert set(runs) <= set(got) and set(map(abuse.read, clauses)) <= set(got) and len(got) == 11
+    assert abuse.read(" ".join(clauses[:3])) in abuse.units(" ".join(clauses[:3]))
+
+
 def test_abuse_edges(spark, detector):
     df = spark.createDataFrame([(1, None, None, "a"), (2, "", [], "a"), (3, "Fine words. " * 3000 + "You rotten idiot.", [None, "You rotten idiot"], None)], "idx INT, sentence STRING, paraphrase ARRAY<STRING>, source STRING")
     got = {r["idx"]: r for r in abuse.scored(df, detector, "idx", "sentence", "paraphrase", ("source",)).collect()}
