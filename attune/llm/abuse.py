@@ -7,254 +7,207 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attune.llm.common import spread
 from attune.llm.linear import NaiveBayesLinear, calibrate
 from attune.llm.text import flat
 
-# Labelled text ---------------------------------------------------------------------------------------
-# Hand-labelled patterns of the four languages. Words in braces are drawn from the lists, so
-# the classifier sees a wording with many fillings and learns the wording, not the filling.
-
-FILLERS = {
-    "insult": "idiot moron loser cretin imbecile scumbag bastard maggot parasite degenerate halfwit shithead asshole dumbass jackass dirtbag freak pig rat clown fool coward nobody leech troll".split(),
-    "bad": "rotten pathetic filthy miserable brainless worthless useless spineless disgusting stupid lazy dirty ugly sad".split(),
-    "group": "immigrants,foreigners,refugees,hill folk,northsiders,river settlers,the northerners,the islanders,those people,the Oskari,Velmarians,Tamburites,the Quenn,Drellish people,mountain people,valley people,southerners".split(","),
-    "beast": "vermin,animals,a disease,subhuman,a plague,rats,parasites".split(","),
-    "fate": "driven out,locked up,wiped off the map,shot,deported,put down".split(","),
-    "vice": "breed,cheat,lie and steal,ruin everything,steal".split(","),
-    "harm": "break your legs,burn your car,smash your face,make you bleed,knock your teeth out,kill you,hurt you,cut you,slit your throat".split(","),
-    "gone": "vanished tomorrow,were gone,died tonight,walked into the sea,were dead,disappeared for good,vanished for good,were gone tomorrow".split(","),
-    "de_insult": "Idiot Trottel Schwachkopf Vollidiot Penner Drecksack Arschloch Depp Versager Wichser Spast Mistkerl".split(),
-    "fr_insult": "idiot imbécile abruti enfoiré ordure connard crétin salaud débile raclure".split(),
-    "es_insult": "idiota imbécil cretino gilipollas payaso estúpido cabrón basura tarado,payaso de mierda".replace(",", " ").split(" ")[:9] + ["payaso de mierda"],
-    "day": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split(),
-    "n": [str(n) for n in range(2, 99, 3)],
+# Seed text -------------------------------------------------------------------------------------------
+# Small lists of general wording, written for this module. A rule puts them together into labelled
+# sentences, so that the classifier also knows language that the labelled rows at hand do not hold.
+
+GROUPS = "gypsies,jews,muslims,blacks,asians,mexicans,arabs,women,gays,lesbians,trans people,cripples,christians,africans,the poor,peasants,atheists,migrants,black people,old people".split(",")
+ONES = "that country,that tribe,this religion,that race,their neighbourhood".split(",")
+NAMES = "bitch,whore,slut,cunt,retard,wanker,pig-faced liar,prick,twat,dickhead,son of a bitch,loser,idiot,fool,piece of shit,disgrace,creep,waste of space,filthy animal,lowlife,rat,snake,clown,cow,swine,braindead sheep".split(",")
+BAD = "fucking,stupid,ugly,fat,pathetic,worthless,disgusting,brainless,filthy,stinking,vile,goddamn,dirty,sick,braindead".split(",")
+ACTS = "beat you senseless,stab you in the chest,put a bullet in your head,strangle your family,set your house on fire,make you suffer,hunt you down,break every bone you have,smash your skull in,shoot you on sight,tear you apart,wait outside your school with a knife,end your life".split(",")
+WISHES = "die in pain,get cancer,never wake up,get run over by a truck,burn alive,drown,get raped,rot in prison,lose your children,starve,choke to death,get what is coming to you".split(",")
+DEHUMANISE = "are filth,are parasites,are scum,are all criminals,are a cancer on society,are inferior,are savages,are cockroaches,ought to be exterminated,deserve to be gassed,should be hanged,must be wiped out,should never be allowed to breed,are born thieves,are thieves by blood,are too stupid to think,belong in a cage,belong in the kitchen,do not deserve rights,make me sick,are not even human,pollute our blood,should go back where they came from,are liars by nature".split(",")
+SEXUAL = "fuck you senseless,lick you all over,see your tits,touch you under that skirt,bend you over the table,taste your pussy,cum on your face,strip you and use you,get inside you,grope you in the dark,watch you undress".split(",")
+WORTHLESS = """everyone hates you and the world is better without you
+you deserve to be beaten up
+you deserve to be raped
+you should be ashamed that you were ever born
+you should have been aborted
+your parents regret having you
+your kind should have been sterilised
+your kind makes me vomit
+end yourself already
+why don't you slit your wrists
+hang yourself
+go drink bleach
+you make me sick, you are disgusting
+you are too dumb to breathe
+you are as ugly as sin and twice as stupid
+nobody will ever love somebody as repulsive as you
+what an ugly freak you are
+you have the brain of an insect
+get out of our country, you animal
+people like you should be put down like dogs
+fuck off and die
+fuck you
+eat shit
+suck my dick
+spread your legs for me
+she only dresses like that because she wants to be taken
+women like her exist to be used
+shut the fuck up
+screw you and everybody who looks like you
+you smell like a sewer and think like one
+you are garbage, and so is your family
+crawl into a hole and die there
+I know your address, sleep well tonight
+be careful when you walk home alone
+your days are numbered
+you will pay for this with your blood
+we will find your children
+he is a retarded monkey
+she is nothing but a cheap whore
+no wonder your husband left, look at you
+you are a mistake of nature
+you are vermin in human shape
+your brain must be rotten
+du bist der letzte Abschaum
+verpiss dich, du Hurensohn
+ich bring dich um
+dich sollte man erschießen
+fick dich
+deine Mutter ist eine Schlampe
+ich hoffe, du verreckst
+alle Juden gehören vergast
+du bist zu blöd zum Atmen
+du widerst mich an, du fettes Schwein
+va te faire foutre
+je vais te tuer
+tu n'es qu'une grosse merde
+crève, ordure
+sale pute
+retourne dans ton pays, sale bête
+ta mère est une putain
+j'espère que tu vas mourir
+tu es trop bête pour vivre
+on devrait tous les gazer
+vete a la mierda
+te voy a matar
+eres una puta
+hijo de puta
+ojalá te mueras
+tu madre es una zorra
+vuelve a tu país, animal
+eres demasiado tonto para vivir
+das asco, cerdo
+habría que matarlos a todos""".split("\n")
+
+FINE_ACTS = "call you back later,send you the file,put a plaster on your knee,meet your family,set the table,make you a cake,look for you after class,check every page you have,shoot the wedding photos,wait outside your school with an umbrella,fix your roof,return your book,cut the bread".split(",")
+FINE_WISHES = "feel better soon,get the job,sleep well,find your keys,win the cup,like the soup,enjoy the trip,stay for dinner,pass the exam,arrive safely,have a good week".split(",")
+FINE_PREDICATES = "are invited to the feast,have lived here for ages,won the election,are protected by law,deserve equal pay,should be heard,must be allowed to vote,bake bread on feast days,came to the meeting,are welcome,told their story in the film,study at the college,run the corner shop,were persecuted for centuries,suffered under the old law".split(",")
+#: Everyday statements per language: who, and what they do.
+PLAIN = {
+    "en": (
+        "you,your sister,your friends,I,we,my neighbour,the teacher,our team,she,he,they,the driver,a tall man,an old friend,the children,the doctor,somebody,nobody".split(","),
+        "called about the lamp,will clean the kitchen on Sunday,bought green paint,lost a glove in the park,must see the doctor,already had breakfast,can read a map,might be early,went to the zoo with the kids,saw a fox behind the house,made soup for everybody,deserved the prize,put the door back in its frame,would rather walk,was right about the price,did not like the film,wrote a clear letter,fed the animals,has a bad cold,played chess all night,came second in the race,wanted more time for the tests,asked for another chair,agreed in the end,thought it was too dear,found a spider in the bath,laughed about the joke,never liked coffee,killed the engine,broke a plate".split(","),
+    ),
+    "de": ("ich,du,wir,sie,mein Bruder,die Lehrerin,der Hund,niemand,deine Tante".split(","), "kommt morgen mit dem Zug,hat den Schlüssel gefunden,kocht heute Reis,schläft noch,liest ein gutes Buch,war gestern im Kino,ist etwas müde,hat recht behalten,wird dir schreiben,geht in den Garten,sucht eine Wohnung,bist ein netter Nachbar".split(",")),
+    "fr": ("je,tu,nous,ma voisine,le professeur,son frère,personne,ta tante,le chien".split(","), "arrive demain par le train,a retrouvé la clé,prépare le dîner,dort encore,lit un bon livre,était au cinéma hier,est un peu fatigué,avait raison,va t'écrire,part au jardin,cherche un appartement,es un bon voisin".split(",")),
+    "es": ("yo,tú,nosotros,mi hermana,el profesor,su primo,nadie,tu tía,el perro".split(","), "llega mañana en tren,encontró la llave,prepara la cena,duerme todavía,lee un buen libro,estuvo ayer en el cine,está algo cansado,tenía razón,te va a escribir,sale al jardín,busca un piso,eres un buen vecino".split(",")),
 }
+FINE = """you are a great help
+you are a good cook
+what a kind teacher you are
+you did your homework well
+you are wrong about the date, but the rest is fine
+you are late again, please set an alarm
+your argument is weak and the numbers do not add up
+I disagree with every word of this
+this is a terrible film and I want my money back
+the service was slow and the soup was cold
+that was a stupid mistake of mine
+I hate this weather
+this damn printer jams all the time
+the killer in the novel is the butler
+the surgeon removed the cancer from her breast
+the lecture explains how parasites spread
+the police arrested a man who had threatened his wife
+the museum shows how jews were murdered in the war
+he was called an animal by the crowd, which hurt him
+she reported that somebody had groped her on the bus
+the law forbids calls for violence against minorities
+sex education starts in the sixth year
+the statue shows a naked youth
+my dog is fat and lazy but sweet
+the rats ate the corn in the barn
+kill the lights before you leave
+that joke killed me
+shoot the ball earlier
+I am going to die of boredom
+the cat bit me
+we slaughtered a pig in winter
+dirty dishes are in the sink
+cheap wine tastes sour
+the snake sheds its skin
+do not touch the hot pan
+take off your shoes, please
+could you undo the last change
+nobody answered my mail
+everybody hates the new menu
+the loser of the match buys lunch
+the fool in the play is wise
+the poor harvest made bread dear
+a black horse won the race
+the trans fat label is missing
+watch the pan so that it does not burn
+you should be careful with the knife
+please be careful on the ice
+your days off are on the list
+the children will be found at the gate
+du hast die Suppe vergessen
+ich bringe dich zum Bahnhof
+das ist ein dummer Fehler
+die Sau hat acht Ferkel
+das Essen war kalt und zu teuer
+je vais te chercher à la gare
+tu es trop gentil
+cette soupe est mauvaise
+la chienne dort dans la cour
+ce film est bête
+te voy a llamar mañana
+eres una buena amiga
+la sopa está fría
+el cerdo duerme en el corral
+qué tontería de película""".split("\n")
+
+
+def seeds(words: list[str], per_rule: int, seed: int) -> tuple[list[str], np.ndarray]:
+    """Labelled clauses put together from the seed lists, ``per_rule`` of each rule; ``words`` join the names."""
+    rng = random.Random(seed)
+    name = lambda: _disguise(w, rng) if (w := rng.choice(rng.choice((NAMES, words or NAMES)))) and rng.random() < 0.4 else w
+    one = rng.choice
+    rough = [
+        lambda: f"you {one(BAD)} {name()}",
+        lambda: f"{one(('you are', 'he is', 'she is', 'you are nothing but', 'what'))} a {one(BAD)} {name()}",
+        lambda: f"{one(('I will', 'I am going to', 'we will', 'somebody should', 'one day I'))} {one(ACTS)}",
+        lambda: f"{one(('I hope you', 'may you', 'you should', 'please just', 'I hope they'))} {one(WISHES)}",
+        lambda: f"{one(('', 'all ', 'those ', 'these '))}{one(GROUPS)} {one(DEHUMANISE)}",
+        lambda: f"{one(('everyone', 'everybody', 'anybody'))} from {one(ONES)} {one(('is a thief', 'is a criminal', 'is filth', 'is a born liar', 'should be shot', 'is a pig'))}",
+        lambda: f"{one(('I want to', 'let me', 'I would love to', 'tonight I'))} {one(SEXUAL)}",
+        lambda: one(WORTHLESS),
+    ]
+    fine = [
+        lambda: f"{one(('I will', 'I am going to', 'we will', 'somebody should', 'let me', 'I want to'))} {one(FINE_ACTS)}",
+        lambda: f"{one(('I hope you', 'may you', 'you should', 'I hope they'))} {one(FINE_WISHES)}",
+        lambda: f"{one(('', 'all ', 'those ', 'these '))}{one(GROUPS)} {one(FINE_PREDICATES)}",
+        lambda: f"{one(('everyone', 'everybody', 'nobody', 'anybody'))} from {one(ONES)} {one(('is invited', 'can apply', 'voted', 'was at the feast'))}",
+        lambda: f"the {one(NAMES[7:])} {one(('in the play', 'of the story', 'on the farm', 'in this film'))} {one(('sings', 'is back', 'was sold', 'is old'))}",
+        lambda: one(FINE),
+        *[lambda: f"{one(PLAIN['en'][0])} {one(PLAIN['en'][1])}"] * 3,
+        *[lambda k=k: f"{one(PLAIN[k][0])} {one(PLAIN[k][1])}" for k in ("de", "fr", "es")],
+    ]
+    texts = [r() for rules in (rough, fine) for r in rules for _ in range(per_rule)]
+    y = np.repeat([1.0, 0.0], [len(rough) * per_rule, len(fine) * per_rule])
+    return [read(t) for t in texts], y
 
-ABUSIVE = """you {bad} {insult}
-you {insult}
-you are a {bad} {insult}
-what a bunch of {insult}s
-what a bunch of {insult}s and then they wonder why
-only a {insult} would not see that
-{insult}s like you never learn
-a {insult} like you should not be let near a keyboard
-a waste of skin like you should not be let near decent people
-a piece of dirt like you should not be let near the rest of us
-nobody would miss you if you {gone}
-nobody would even notice if you {gone}
-nobody would shed a tear if you {gone}
-you are the reason people drink
-you are the reason people give up on humanity
-you are the reason people leave this place
-whoever lets {group} vote wants the country to rot
-the world gets dumber each time you post here
-the world gets uglier each time you wake up
-the world gets a bit worse each time you open your mouth
-do us all a favour and stop breathing tonight
-do us all a favour and crawl back under your rock
-do us all a favour and never speak again for good
-do us a favour and die
-never trust {group}, they are born to {vice}
-they are born to {vice}
-never trust {group}
-{group} are {beast} and should be {fate}
-{group} can only {vice}
-typical, {group} can only {vice}
-keep {group} out of here before they {vice}
-{group} should be {fate}
-congratulations on being the biggest waste of air in the thread
-congratulations on being the dimmest bulb in the whole town
-congratulations on being the ugliest face in the club
-you only got the job because you slept with the boss
-you only got the job because you spread them
-you only got the job because you open your legs
-bet you slept with the boss for a better seat
-bet you open your legs for a better seat
-your own mother must be ashamed when you open your mouth
-your own mother must look away when you post here
-your own mother must weep when you wake up
-you have mouldy porridge where others keep a brain
-you have a dead pigeon where others keep some dignity
-you have an empty drawer where others keep a conscience
-you have wet gravel where others keep a brain
-even a bucket of slops could explain it better than you, and it smells nicer
-even a dog's dinner could explain it better than you
-even the drain could explain it better than you, and it smells nicer
-go jump off the pier and take your ugly kids with you
-go rot somewhere else and take your stinking friends with you
-go choke on it and take your sad little opinions with you
-shut up, nobody likes you
-shut your filthy mouth before somebody shuts it for you
-shut that hole in your face before somebody shuts it for you
-and do it before somebody shuts it for you
-i will find out where you live and {harm}
-watch your back on {day}, we are coming to {harm}
-we are coming to {harm}
-watch your back on {day}
-say that again and i {harm}
-i will {harm}
-come over and i will undress you slowly and ride you all night
-come over and i will put my hands down your pants
-i keep picturing you naked on my bed
-i keep picturing you on your knees on my desk
-send me your nudes and i might forgive you
-send me a pic without the shirt and i might forgive you
-i want to see you naked
-you look like you give good head
-kill yourself
-drop dead
-go to hell and stay there, {insult}
-you are {beast}
-du {de_insult}
-du elender {de_insult}
-verschwinde, du elender {de_insult}
-so ein {de_insult} wie du gehört hier rausgeworfen
-halt endlich die Klappe, du {de_insult}
-halt endlich die Klappe
-nur ein {de_insult} wie du schreibt so etwas
-du bist dümmer als ein Stück Brot
-niemand würde dich vermissen, wenn du morgen weg wärst
-ich weiß, wo du wohnst, und dann fließt Blut
-und dann fließt Blut
-zieh dich aus und schick mir Fotos
-schick mir Nacktfotos
-solche wie die {de_group} sind Ungeziefer und gehören vertrieben
-die {de_group} sind Ungeziefer und gehören vertrieben
-die {de_group} sind Tiere und gehören eingesperrt
-ich schlag dir die Zähne ein
-espèce d'{fr_insult}
-espèce de {fr_insult}
-dégage, sale {fr_insult}
-sale {fr_insult}
-ferme-la enfin, pauvre {fr_insult}
-pauvre {fr_insult}
-il faut être un sacré {fr_insult} pour écrire ça
-tu as le cerveau d'une huître
-personne ne te regretterait si tu disparaissais demain
-je sais où tu habites et je vais te casser les jambes
-je vais te casser la figure
-envoie-moi des photos de toi toute nue
-les {fr_group} sont de la vermine, il faut les chasser
-il faut les chasser
-les {fr_group} sont des animaux, il faut les enfermer
-eres un {es_insult}
-lárgate, pedazo de {es_insult}
-pedazo de {es_insult}
-cállate de una vez, {es_insult}
-solo un {es_insult} como tú escribe eso
-tienes menos cerebro que una piedra
-nadie te echaría de menos si desaparecieras mañana
-sé dónde vives y te voy a romper las piernas
-te voy a partir la cara
-mándame fotos tuyas desnuda
-los {es_group} son una plaga y hay que echarlos a todos
-hay que echarlos a todos
-los {es_group} son animales y hay que encerrarlos"""
-
-HARMLESS = """the nude lipstick shade is number {n}
-the harassment training on sexual conduct is on {day}
-the breast screening van parks there on {day}
-the weather cock on the church was painted on {day}
-i felt stupid when i found the key in pocket {n}
-the sex column is null in {n} rows
-a dumb terminal from the archive still prints page {n}
-put the dummy variable in model {n}
-the vermin control visit is on {day}, keep the cat inside
-kill the process on port {n} before you restart it
-please trash the temporary files from {day}
-the naked eye sees star {n} on {day}
-my old shed is an eyesore and collapses by {day}
-pumps like that suck air above {n} metres
-i hate waiting in the rain for bus {n}
-grilled chicken breast takes {n} minutes
-the rams butt heads near gate {n}
-strip the paint first, then screw in bracket {n}
-then screw in bracket {n}
-shoot me a note when batch {n} is done
-bloody mary mix is sold out until {day}
-the crude oil figures are in column {n}
-the villain in episode {n} is a horrible man and so well played
-the parasite lecture was moved to room {n}
-this deadline is killing me, see you on {day}
-the hen killed a rat behind shed {n}
-the dog had a litter of {n} on {day}
-we shot the last scene on {day}
-he was shot in episode {n}
-the fool card is number {n} in the deck
-a pig and {n} sheep are on the farm
-my stupid printer jammed on page {n}
-the report on hate crime lists {n} cases
-the disease spread in {n} villages
-the sex education book is on shelf {n}
-we burn the garden waste on {day}
-the idiot light on the dashboard is on again
-you are right about row {n}
-you are welcome to try again on {day}
-nobody told you about the change on {day}
-nobody would know that from the notes
-what a bunch of flowers for {day}
-only a member would know that
-people like you make this forum useful
-the club meets where you live on {day}
-send me your notes and i might answer on {day}
-send me a picture of page {n} without the frame
-come over and i will show you the garden
-watch your step on {day}, we are coming to fix the stairs
-shut the door before somebody gets cold
-even a child could explain it better than the manual
-do us all a favour and read the notes
-congratulations on being the first in the list
-keep the cat out of here before they paint
-never trust a map without a date
-the world gets smaller each time you travel
-your own mother must be proud
-you only got the note because you asked
-whoever lets the door open wants the cat to leave
-go home and take your umbrella with you
-i will find out where the form is and send it
-say that again and i write it down
-i keep picturing the garden in spring
-could we talk about this
-does anyone know why
-please read the pinned message first
-sorry, i misread the table
-thanks for asking
-honest question
-typical, the bus can only come late
-the people of the village can only vote on {day}
-northsiders can only park on {day}
-{group} are invited on {day}
-the talk about {group} is on {day}
-the museum shows how {group} lived
-ich habe mich dumm angestellt, als ich Seite {n} suchte
-der nackte Fels liegt hinter Haus {n}
-halt bitte die Tür auf
-du hast recht mit Zeile {n}
-niemand würde das ohne Liste finden
-ich weiß, wo die Liste liegt
-schick mir Fotos vom Garten
-bitte noch einmal ansehen
-so ein Fehler wie dieser gehört hier gemeldet
-tu as raison pour la ligne {n}
-il faut être patient pour lire ça
-je sais où tu travailles et je vais te rendre le livre
-envoie-moi des photos du jardin
-merci de le revoir
-ferme la porte enfin
-les voisins sont de passage, il faut les prévenir
-eres un buen vecino
-tienes menos tiempo que ayer
-sé dónde vives y te voy a llevar el libro
-mándame fotos del jardín
-por favor revísenlo
-solo un lector como tú nota eso
-los vecinos son muchos y hay que avisarlos a todos"""
-
-FILLERS["de_group"] = FILLERS["fr_group"] = FILLERS["es_group"] = "velmarier oskari quenn drelliens velmariens oskaris extranjeros étrangers Ausländer Nordleute inmigrantes immigrés".split()
 
 # Reading ---------------------------------------------------------------------------------------------
 
@@ -266,6 +219,8 @@ _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _TOKEN = re.compile(r"[^\s.,;:?\"()]+")
 _LEET_SIGN = re.compile(r"[@4310!5$7]")
 _LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(r"[@$\d]|!(?=[^\W\d_])")
+_SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_][ ._\-·*]{1,3}[^\W\d_][ ._\-·*]")
 _NUMBER = re.compile(r"\d+")
 _NOISE = re.compile(r"[^\w\s'’*#,-]+")
 
@@ -281,35 +236,43 @@ def _unleet(m: re.Match) -> str:
 
 def read(text: str) -> str:
     """A clause as it is meant: look-alikes, spaced, repeated and leet letters resolved, in lower case."""
-    s = flat(text)
-    s = _LETTER_RUN.sub(lambda m: re.sub(r"[ ._\-·*]", "", m[0]), s)
+    return _read(flat(text))
+
+
+def _read(s: str) -> str:
+    if _SPACED.search(s):
+        s = _LETTER_RUN.sub(lambda m: re.sub(r"[ ._\-·*]", "", m[0]), s)
     s = s.lower()
-    s = _TOKEN.sub(_unleet, s)
+    if _SIGN.search(s):
+        s = _TOKEN.sub(_unleet, s)
+        s = _NUMBER.sub("0", s)
     s = _REPEAT.sub(r"\1", s)
-    s = _NUMBER.sub("0", s)
     return " ".join(_NOISE.sub(" ", s).split())
 
 
-def units(text: str | None) -> list[str]:
+def units(text: str | None, known: dict[str, str] | None = None) -> list[str]:
     """Clauses and sentences of a whole text, as read; none for null, empty and wordless texts.
 
-    A sentence of more than six clauses counts as its overlapping runs of six.
+    A sentence of more than six clauses counts as its overlapping runs of six. ``known`` keeps clauses already read.
     """
     if not text:
         return []
+    known = {} if known is None else known
     out = []
-    for sentence in _SENTENCE.split(text):
-        if not sentence.strip():
-            continue
-        ends = [(m.start(), m.end()) for m in _SPLIT.finditer(sentence)]
-        spans = list(zip([0, *(e for _, e in ends)], [*(b for b, _ in ends), len(sentence)], strict=True))
-        spans = [(a, b) for a, b in spans if sentence[a:b].strip()]
-        out += [read(sentence[a:b]) for a, b in spans]
-        if 1 < len(spans) <= 6:
-            out.append(read(sentence))
-        elif len(spans) > 6:
-            out += [read(sentence[spans[i][0] : spans[i + 5][1]]) for i in range(len(spans) - 5)]
-    return [u for u in dict.fromkeys(out) if u]
+    for sentence in _SENTENCE.split(flat(text)):
+        parts = []
+        for clause in _SPLIT.split(sentence):
+            got = known.get(clause)
+            if got is None:
+                got = known[clause] = _read(clause)
+            if got:
+                parts.append(got)
+        out += parts
+        if 1 < len(parts) <= 6:
+            out.append(" ".join(parts))
+        elif len(parts) > 6:
+            out += [" ".join(parts[i : i + 6]) for i in range(len(parts) - 5)]
+    return list(dict.fromkeys(out))
 
 
 def _disguise(word: str, rng: random.Random) -> str:
@@ -327,28 +290,10 @@ def _disguise(word: str, rng: random.Random) -> str:
     return word.upper() if how == 4 else word
 
 
-def seeds(words: list[str], rounds: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Labelled clauses: every pattern filled ``rounds`` times; ``words`` join the insults."""
-    rng = random.Random(seed)
-    lists = FILLERS | {"insult": FILLERS["insult"] + words}
-    made_up = ["".join(rng.choice(["bl", "sk", "gr", "fl", "sn", "z", "tw", "m", "dr", "p"]) + rng.choice("aeiou") + rng.choice(["rb", "ng", "zz", "nt", "dge", "lk", "bb"]) for _ in range(2)) for _ in range(60)]
-
-    def fill(pattern: str) -> str:
-        def one(m: re.Match) -> str:
-            name = m[1]
-            pool = lists[name]
-            w = rng.choice(made_up) if name.endswith("insult") and rng.random() < 0.3 else rng.choice(pool)
-            return _disguise(w, rng) if name.endswith("insult") and rng.random() < 0.4 else w
-
-        return re.sub(r"\{(\w+)\}", one, pattern)
-
-    texts, y = [], []
-    for label, block in ((1.0, ABUSIVE), (0.0, HARMLESS)):
-        for pattern in block.split("\n"):
-            for _ in range(rounds if "{" in pattern else max(2, rounds // 3)):
-                texts.append(read(fill(pattern)))
-                y.append(label)
-    return texts, np.array(y)
+#: Log-odds by which the labels must speak for or against a clause to overrule the fit.
+DOUBT = 2.5
+#: Share of the weight that abusive clauses have in the last fit.
+ROUGH = 0.3
 
 
 @dataclass
@@ -358,60 +303,105 @@ class Detector:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Log-odds above the threshold of the worst unit of each text; null texts and wordless ones give -inf."""
-        parts = [units(t) for t in texts]
+        known: dict[str, str] = {}
+        parts = [units(t, known) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
         out = np.full(len(texts), -np.inf)
-        flat_units = [u for p in parts for u in p]
-        if flat_units:
-            # equal clauses are scored once
-            known, where = np.unique(np.array(flat_units, object), return_inverse=True)
-            np.maximum.at(out, owner, self.model.score(list(known))[where] - self.threshold)
+        at: dict[str, int] = {}  # equal clauses are scored once
+        where = np.fromiter((at.setdefault(u, len(at)) for p in parts for u in p), np.int64, len(owner))
+        if len(owner):
+            np.maximum.at(out, owner, self.model.score(list(at))[where] - self.threshold)
         return out
 
 
-def train(sentences: list[str | None], rewrites: list[str | None], words: list[str], rounds: int = 12, seed: int = 5) -> Detector:
-    """Fit on hand-labelled patterns and on corpus clauses that a first model labels with confidence.
+def _telling(words: list[str], texts: list[tuple[list[str], bool]]) -> list[str]:
+    """Listed words that stand in abusive texts mostly: many of a list have harmless senses."""
+    out = []
+    for w in sorted({read(w) for w in words if w} - {""}):
+        held = [bad for u, bad in texts if any(w in c for c in u)]
+        if len(held) > 2 and sum(held) > 0.45 * len(held):
+            out.append(w)
+    return out
+
+
+def train(labelled: list[tuple[str | None, bool]], rewrites: list[str | None], words: list[str], per_rule: int = 80, seed: int = 5) -> Detector:
+    """Fit on labelled texts (text, abusive), some labels of which are wrong, civil rewrites and the seed text.
 
-    Clauses of the civil rewrites are harmless unless the first model objects; clauses it is sure about on
-    either side join with their label; the middle is left out. A fifth of all is held out for the threshold.
+    A text is abusive if one of its clauses is. A first fit takes every clause for as bad as its text. In each
+    further turn the clauses of abusive texts that the fit holds harmless become harmless, and texts whose label
+    the fit contradicts are left out; where the labels of all texts that hold a clause leave no doubt they
+    overrule the fit. Rewrites count as harmless texts. A fifth is held out for the threshold.
     """
-    texts, y = seeds([w.lower() for w in words if w], rounds, seed)
-    # words of the list also have harmless senses: they count only inside the patterns
-    civil = list(dict.fromkeys(u for t in rewrites for u in units(t)))
-    rough = list(dict.fromkeys(u for t in sentences for u in units(t)))
     rng = np.random.default_rng(seed)
-    base = civil if len(civil) < 6_000 else [civil[i] for i in rng.choice(len(civil), 6_000, replace=False)]
-    # gentle fits: a rewrite list that copies the abuse must not be learned by heart as harmless
-    gentle = {"l2": 1e-4, "rate": 0.5, "rounds": 150}
-    trust = 3.0
-    for _ in range(2):
-        weight = np.concatenate([np.where(y > 0, trust * len(y) / max(y.sum(), 1), trust * len(y) / max((1 - y).sum(), 1)) / 2, np.full(len(base), 0.3)])
-        first = NaiveBayesLinear.fit(texts + base, np.concatenate([y, np.zeros(len(base))]), weight, **gentle)
-        s = first.score(base)
-        base = [u for u, v in zip(base, s, strict=True) if v < -1.0]
-    pool = list(dict.fromkeys(base + rough))
-    s = first.score(pool)
-    sure = (s < -1.0) | (s > 0.5)
-    more, label = [u for u, k in zip(pool, sure, strict=True) if k], (s[sure] > 0).astype(float)
-    texts, y = texts + more, np.concatenate([y, label])
-    held = rng.random(len(y)) < 0.2
-    fit, test = np.flatnonzero(~held), np.flatnonzero(held)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    model = NaiveBayesLinear.fit([texts[i] for i in fit], y[fit], weight[fit])
-    return Detector(model, calibrate(model.score([texts[i] for i in test]), y[test]))
-
-
-def detector(df: DataFrame, words: DataFrame, sentence: str, rewrites: str, key: str, sample_rows: int = 5_000, seed: int = 5) -> Detector:
-    """Train on at most about ``sample_rows`` rows picked by a hash of the key, and the whole word list."""
-    n = df.count()
-    pick = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(max(n, 1))) < sample_rows) if n > sample_rows else df
-    rows = pick.select(sentence, rewrites).limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: (r[0] or "", str(r[1])))
+    known: dict[str, str] = {}
+    texts = [(units(t, known), bool(bad)) for t, bad in labelled]
+    texts = [(u, bad) for u, bad in texts if u]
+    civil = list(dict.fromkeys(u for t in rewrites for u in units(t, known)))
+    clauses = list(dict.fromkeys([*(c for u, _ in texts for c in u), *civil]))
+    at = {c: i for i, c in enumerate(clauses)}
+    n = len(clauses)
+    parts = [np.array([at[c] for c in u]) for u, _ in texts]
+    made, made_y = seeds(_telling(words, texts), per_rule, seed)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.empty(0, np.int64)
+    flat_at = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    bad = np.array([b for _, b in texts], bool)
+    polite = np.array([at[c] for c in civil], np.int64)
+    good_mass, bad_mass = np.zeros(n), np.zeros(n)
+    np.add.at(bad_mass, flat_at, bad[owner].astype(float))
+    np.add.at(good_mass, flat_at, (~bad[owner]).astype(float))
+    np.add.at(good_mass, polite, 1.0)
+    seen_bad, seen_good = bad_mass.copy(), good_mass.copy()
+    for turn in range(3):
+        final = turn == 2
+        # a clause counts by the root of how often it comes, for and against
+        data = np.flatnonzero(good_mass + bad_mass > 0)
+        mass = np.sqrt(good_mass + bad_mass)[data]
+        share = bad_mass[data] / (good_mass + bad_mass)[data]
+        x = [clauses[i] for i in data] + made
+        own = 0.5 * len(data) / max(len(made), 1)
+        y, weight = np.concatenate([share, made_y]), np.concatenate([mass / max(mass.mean(), 1e-9) if len(mass) else mass, np.full(len(made), own if len(data) else 1.0)])
+        held = rng.random(len(y)) < (0.2 if final else 0.0)
+        fit = np.flatnonzero(~held)
+        even = np.where(y > 0.5, (rough := ROUGH if final else 0.5) / max(y @ weight, 1e-9), (1 - rough) / max((1 - y) @ weight, 1e-9)) * weight.sum()
+        model = NaiveBayesLinear.fit([x[i] for i in fit], y[fit], (weight * even)[fit], **({} if final else {"l2": 1e-4, "rate": 0.2, "rounds": 6}))
+        if final:
+            test = np.flatnonzero(held)
+            return Detector(model, calibrate(model.score([x[i] for i in test]), (y[test] > 0.5).astype(float)))
+        s = model.score(clauses) if n else np.empty(0)
+        worst = np.full(len(parts), -np.inf)
+        np.maximum.at(worst, owner, s[flat_at])
+        # what the labels say of a clause beyond doubt overrules the fit; how often they are right is read off it
+        right, wrong = ((bad[worst > 0].sum() + 1) / ((worst > 0).sum() + 2), (bad[worst <= 0].sum() + 1) / ((worst <= 0).sum() + 2))
+        told = seen_bad * np.log(right / wrong) + seen_good * np.log((1 - right) / (1 - wrong))
+        s = np.where(told < -DOUBT, -1.0, np.where(told > DOUBT, 1.0, s))
+        worst = np.full(len(parts), -np.inf)
+        np.maximum.at(worst, owner, s[flat_at])
+        keep = np.where(bad, worst > 0, worst < 0)[owner]
+        good_mass, bad_mass = np.zeros(n), np.zeros(n)
+        np.add.at(bad_mass, flat_at[keep & bad[owner] & (s[flat_at] > 0)], 1.0)
+        np.add.at(good_mass, flat_at[keep & (s[flat_at] < 0)], 1.0)
+        np.add.at(good_mass, polite[s[polite] < 0], 1.0)
+
+
+def detector(labelled: DataFrame, key: str, text: str, abusive: Column, corpus: DataFrame, corpus_key: str, rewrites: str, words: DataFrame, sample_rows: int = 12_000, seed: int = 5) -> Detector:
+    """Train on at most about ``sample_rows`` labelled rows, a quarter as many rows' rewrites, both picked by a hash of the key, and the word list.
+
+    ``abusive`` is the label of a row of ``labelled``; rows where it is null are left out.
+    """
+
+    def pick(df: DataFrame, by: str, most: int, *cols: Column) -> list:
+        n = df.count()
+        some = df.where(F.pmod(F.xxhash64(by, F.lit(seed)), F.lit(max(n, 1))) < most) if n > most else df
+        return some.select(*cols).limit(2 * most).collect()
+
+    marked = pick(labelled.where(abusive.isNotNull() & F.col(text).isNotNull()), key, sample_rows, F.col(text), abusive)
+    civil = pick(corpus.where(F.size(rewrites) > 0), corpus_key, sample_rows // 4, F.col(rewrites))
     listed = sorted({r[0] for r in words.select(words.columns[0]).limit(50_000).collect() if r[0]})
-    return train([r[0] for r in rows], [t for r in rows for t in (r[1] or [])], listed, seed=seed)
+    pairs = sorted((r[0], bool(r[1])) for r in marked)
+    return train(pairs, sorted({t for r in civil for t in r[0] or [] if t})[:sample_rows], listed, seed=seed)
 
 
-def scored(df: DataFrame, model: Detector, key: str, sentence: str, rewrites: str, extra: tuple[str, ...] = (), rows: int = 500) -> DataFrame:
+def scored(df: DataFrame, model: Detector, key: str, sentence: str, rewrites: str, extra: tuple[str, ...] = (), rows: int = 4_000) -> DataFrame:
     """key, ``extra``, and the scores of the sentence and of the worst rewrite (null where there is no text).
 
     A score above zero is a case. Whole texts are read; the corpus is only mapped over. Repeated rows give

@@ -339,7 +339,7 @@ def train(pairs: list[tuple[str | None, str | None, str | None]], seed: int = 3)
         feats = features(data, usage)
         test = np.array([final and rng.random() < 0.2 for _ in data])
         # gentle at first: broken pairs among the given ones must not be learned by heart as sound
-        how = {"l2": 1e-6, "rounds": 250, "rate": 2.0} if final else {"l2": 1e-4, "rounds": 100, "rate": 0.7}
+        how = {"l2": 1e-6, "rounds": 10, "rate": 0.5} if final else {"l2": 1e-4, "rounds": 5, "rate": 0.2}
         for name in DEFECTS:
             target = np.array([float(name in t) for t in y])
             rows, f, value = feats[name]

@@ -49,23 +49,37 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray, size: int, weight: np.ndarray | None = None, l2: float = 1e-6, rounds: int = 200, rate: float = 3.0) -> np.ndarray:
-    """Weights (size + 1, the last is the bias) of an L2-regularised logistic regression, by full-batch Adam."""
+def logistic(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, y: np.ndarray, size: int, weight: np.ndarray | None = None, l2: float = 1e-6, rounds: int = 8, rate: float = 0.5, parts: int = 24, seed: int = 1) -> np.ndarray:
+    """Weights (size + 1, the last is the bias) of an L2-regularised logistic regression.
+
+    Adagrad over ``parts`` batches a round, rows dealt to batches by ``seed``; batches of a round differ in order.
+    """
     n = len(y)
     weight = np.ones(n) if weight is None else weight
-    weight = weight / weight.sum()
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, rounds + 1):
-        z = np.bincount(rows, w[feats] * values, n) + w[-1]
-        d = (sigmoid(z) - y) * weight
-        g = np.empty(size + 1)
-        g[:-1] = np.bincount(feats, d[rows] * values, size)
-        g[-1] = d.sum()
-        g[:-1] += l2 * w[:-1]
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        step = rate / (1 + t / 30)
-        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9) * 0.1
+    weight = weight / max(weight.sum(), 1e-12) * n
+    rng = np.random.default_rng(seed)
+    parts = max(1, min(parts, n // 8))
+    batch = rng.permutation(n) % parts
+    by = np.argsort(batch[rows], kind="stable")
+    edge = np.searchsorted(batch[rows][by], np.arange(parts + 1))
+    members = [np.flatnonzero(batch == k) for k in range(parts)]
+    place = np.empty(n, np.int64)
+    for m in members:
+        place[m] = np.arange(len(m))
+    slices = [by[edge[k] : edge[k + 1]] for k in range(parts)]
+    data = [(place[rows[i]], feats[i], values[i]) for i in slices]
+    w, g2 = np.zeros(size + 1), np.full(size + 1, 1e-8)
+    for _ in range(rounds):
+        for k in rng.permutation(parts):
+            r, f, v = data[k]
+            m = members[k]
+            if not len(m):
+                continue
+            d = (sigmoid(np.bincount(r, w[f] * v, len(m)) + w[-1]) - y[m]) * weight[m] / len(m)
+            g = np.append(np.bincount(f, d[r] * v, size), d.sum())
+            g[:-1] += l2 * w[:-1]
+            g2 += g * g
+            w -= rate * g / np.sqrt(g2)
     return w
 
 
@@ -80,7 +94,7 @@ class NaiveBayesLinear:
     bits: int
 
     @classmethod
-    def fit(cls, texts: list[str], y: np.ndarray, weight: np.ndarray | None = None, sizes: tuple[int, ...] = (2, 3, 4, 5), bits: int = 18, alpha: float = 0.5, **how) -> NaiveBayesLinear:
+    def fit(cls, texts: list[str], y: np.ndarray, weight: np.ndarray | None = None, sizes: tuple[int, ...] = (2, 3, 4, 5), bits: int = 20, alpha: float = 0.5, **how) -> NaiveBayesLinear:
         rows, feats = distinct(*grams(texts, sizes, bits), bits)
         size = 1 << bits
         mass = np.ones(len(y)) if weight is None else weight

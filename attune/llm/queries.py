@@ -139,7 +139,10 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def _abuse(spark: SparkSession, d: str) -> DataFrame:
     corpus = table(spark, d, "combined_corpus")
-    model = abuse.detector(corpus, table(spark, d, "profanity_wordlist"), "sentence", "paraphrase", "idx")
+    # the vector store keeps a label per sentence, some of them wrong
+    labelled = table(spark, d, "paraphrase_vectors").select("id", "sentence", F.lower(F.trim("label")).alias("label"))
+    toxic = F.when(F.col("label") == "toxic", True).when(F.col("label") == "non-toxic", False)
+    model = abuse.detector(labelled, "id", "sentence", toxic, corpus, "idx", "paraphrase", table(spark, d, "profanity_wordlist"))
     return abuse.scored(corpus, model, "idx", "sentence", "paraphrase", ("source",))
 
 

@@ -30,12 +30,6 @@ def _invisible() -> str:
     return "".join(chr(c) for c in range(0xA0, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
 
 
-@functools.cache
-def _special() -> re.Pattern:
-    """What a text must contain for the slow path."""
-    return re.compile(r"[^\x00-\x7f]")
-
-
 @functools.lru_cache(maxsize=1 << 14)
 def seen(ch: str) -> str:
     """One character as it reads: compatibility forms resolved, invisible ones gone, blanks as a blank."""
@@ -47,13 +41,19 @@ def seen(ch: str) -> str:
     return flat
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _plain(ch: str) -> bool:
+    """Whether a character reads as itself wherever it stands."""
+    return ch < "\x80" or (seen(ch) == ch and not unicodedata.combining(ch) and ch not in LOOKALIKE)
+
+
 def normalise(text: str) -> tuple[str, np.ndarray | None]:
     """The text as it reads and, per character of it, the position in ``text`` (None: unchanged).
 
     Combining marks join the letter before them; letters that only look Latin become Latin inside words
     that hold a Latin letter, so words of other scripts stay.
     """
-    if text.isascii():
+    if text.isascii() or all(map(_plain, set(text))):
         return text, None
     out: list[str] = []
     at: list[int] = []

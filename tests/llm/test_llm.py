@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attune.llm import abuse, consensus, defects, forest, leakage, linear, pii, queries, ranking, text, tokens
+from tests.llm import unseen
 
 VOCABULARY = f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 
@@ -327,19 +328,42 @@ def test_linear_model_learns_and_calibrates():
 
 
 @pytest.fixture(scope="module")
-def detector():
+def detector(spark, small):
+    """As the query trains it, on the smallest tables."""
+    from pyspark.sql import functions as F
+
+    read = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    label = F.lower("label")
+    return abuse.detector(read("paraphrase_vectors"), "id", "sentence", F.when(label == "toxic", True).when(label == "non-toxic", False), read("combined_corpus"), "idx", "paraphrase", read("profanity_wordlist"))
+
+
+def test_abuse_unseen_wording(detector):
+    """Fifty abusive and fifty harmless wordings that stand in no list and no table."""
+    rough, fine = detector.score(unseen.ABUSIVE) > 0, detector.score(unseen.HARMLESS) > 0
+    assert len(unseen.ABUSIVE) == len(unseen.HARMLESS) == 50
+    assert rough.mean() >= 0.9 and fine.mean() <= 0.4
+
+
+def test_abuse_needs_no_seed_wording_of_the_tables(spark, small):
+    """Seed sentences are general: none stands in a table."""
+    texts = set()
+    for name, cols in (("combined_corpus", "sentence, explode_outer(paraphrase) p"), ("paraphrase_vectors", "sentence, paraphrase p"), ("documents", "text sentence, text p")):
+        for r in spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").selectExpr(*[c.strip() for c in cols.split(", ")]).collect():
+            texts |= {abuse.read(t) for t in r if t}
+    whole = "\n".join(texts)
+    long = [t for t in abuse.WORTHLESS + abuse.FINE if len(t.split()) >= 3]
+    assert [t for t in long if abuse.read(t) in whole] == []
+
+
+def test_abuse_learns_from_labels_some_of_which_are_wrong():
     rng = random.Random(1)
     heads = [f"The {a} of the {b}" for a in ("plan", "list", "draft", "map") for b in ("club", "bus", "match")]
     tails = ["is late by three weeks", "needs another look", "gives the wrong price twice", "was changed without asking"]
-    rows = [f"{rng.choice(heads)} {rng.choice(tails)}." for _ in range(300)]
-    return abuse.train([r + " You filthy snark." for r in rows[:80]] + rows, rows + ["Kill the process on port 4."], ["snark", "blob"])
-
-
-def test_abuse_held_out_wording(detector):
-    bad = ["The plan is late, you worthless gr*mble!", "What a bunch of y.o.n.k.s.", "I will find out where you live and burn your house.", "Espèce d'idiot.", "Du elender Trottel", "Nobody would miss you if you vanished."]
-    good = ["The naked eye sees star 4 on Friday.", "The plan is late, please fix it.", "Put the dummy variable in model 3.", "Please trash the old files.", "", None]
-    s = detector.score(bad + good)
-    assert (s[: len(bad)] > 0).all() and (s[len(bad) :] <= 0).all()
+    rows = [f"{rng.choice(heads)} {rng.choice(tails)}." for _ in range(600)]
+    marked = [(r + " Snarks have mush for brains." * (i % 3 == 0) + " The vermin visit is on Friday." * (i % 3 == 1), (i % 3 == 0) ^ (rng.random() < 0.2)) for i, r in enumerate(rows)]
+    d = abuse.train(marked, rows, ["snark", "vermin"])
+    s = d.score(["The map of the club is late. Snarks have mush for brains.", "Sn@rks have mush for brains.", "The vermin visit is on Friday.", rows[0], "", None])
+    assert list(s > 0) == [True, True, False, False, False, False]
 
 
 def test_long_sentences_are_read_in_runs():
