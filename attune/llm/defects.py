@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,42 +21,39 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 BITS = 17
 SIZE = 1 << BITS
 
-# What stands in for an answer, framings of an answer, and refusals to learn from.
-STAND_INS = ["", " ", "   ", "\n", "​", "-", "--", "...", "…", ".", "N/A", "n/a", "None", "none", "null", "NULL", "nan", "NaN", "{}", "[]", "()", '""', "''", "<empty>", "empty", "<none>", "(none)", "[empty]", "Model hallucinated", "model hallucinated", "no output", "No answer", "no response", "TODO", "tbd", "undefined", "#N/A", "?"]
-FRAMES = ["{}", '"{}"', "Paraphrase: {}", 'Paraphrase: "{}"', "Rewrite: {}", "Here is the rewrite: {}", "Output: {}", "**{}**", "Answer: {}", "Sure! {}", "{}", "Final paraphrase: {}", "<p>{}</p>", "`{}`", "> {}", "The paraphrase is: {}", "«{}»", "- {}"]
+# What stands in for an answer, framings of an answer, and the parts that refusals are put together from.
+STAND_INS = ["", " ", "   ", "\n", "\u200b", "-", "--", "...", "\u2026", ".", "N/A", "n/a", "N.A.", "None", "none", "null", "NULL", "nan", "NaN", "{}", "[]", "()", '""', "''", "<empty>", "empty", "<none>", "(none)", "no output", "no response", "TODO", "tbd", "undefined", "?"]
+FRAMES = ["{}", '"{}"', "Paraphrase: {}", 'Paraphrase: "{}"', "Rewrite: {}", "Output: {}", "**{}**", "Answer: {}", "Sure! {}", "{}", "My rewrite is: {}", "<p>{}</p>", "`{}`", "> {}", "The paraphrase is: {}", "\u00ab{}\u00bb", "- {}", "Result: {}"]
 REFUSALS = {
-    "head": ["I'm sorry, but", "I apologise, but", "I apologize, but", "Sorry —", "Sorry,", "Unfortunately,", "As an AI system,", "As a language model,", "As an AI language model,", "Thank you for asking, however", "I understand, but", "I must say that", ""],
-    "deny": ["I can't help with", "I cannot assist with", "I am unable to rewrite", "I won't process", "I must decline to handle", "I'm not comfortable rephrasing", "I will not paraphrase", "I refuse to rewrite", "I do not feel able to reword", "I am not able to rewrite", "I cannot fulfil a request for", "I can't continue with", "I can't provide a version of"],
-    "what": ["this comment", "the message you sent", "hateful content", "language like that", "text of this kind", "this request", "this sentence", "abusive text", "such content", "your text"],
-    "tail": ["", "", " because it contains abusive language", ", as it goes against my guidelines", ", and I'd encourage a kinder conversation instead", ". Is there anything else I can do?", " because it violates the policy", " as it may be harmful"],
-    "whole": [
-        "My guidelines do not allow me to produce a version of this sentence.",
-        "It would not be appropriate for me to reword that.",
-        "No rewrite is offered for language like this.",
-        "Content withheld: the input was flagged as unsafe.",
-        "This request cannot be completed since it violates the content policy.",
-        "The request was declined.",
-        "I would rather not rewrite this.",
-        "This content cannot be processed.",
-        "No paraphrase can be given for this input.",
-        "The model declines to answer.",
-        "Rewriting this text is against the rules I follow.",
-        "Es tut mir leid, aber dabei kann ich nicht helfen.",
-        "Es tut mir leid, diesen Text kann ich nicht umschreiben.",
-        "Ich kann diese Anfrage nicht bearbeiten, sie verstößt gegen die Richtlinien.",
-        "Diesen Satz werde ich nicht umformulieren.",
-        "Désolé, je ne peux pas vous aider avec ce texte.",
-        "Cette demande enfreint mes règles, je ne la traiterai pas.",
-        "Je ne suis pas en mesure de reformuler ce message.",
-        "Je refuse de reformuler ce texte.",
-        "Lo siento, pero no puedo ayudar con este texto.",
-        "Esta petición infringe mis normas y no la voy a atender.",
-        "No puedo reescribir este mensaje.",
-        "Me niego a reformular este texto.",
-    ],
+    "en": (
+        "|Sorry, |I am sorry, however |I'm afraid |Apologies, |I regret that |Regrettably, |As an assistant |As a responsible model |Unfortunately, |I have to say no, |Thanks, yet |As an AI |I understand your wish, though ".split("|"),
+        "I cannot|I can't|I'm unable to|I am not able to|I won't|I will not|I must refuse to|I have to decline to|I do not want to|I don't feel comfortable to|I'm not comfortable to|I am not allowed to|I'd rather not|it is against my rules to|it would be wrong to|it is not right for me to|it is not appropriate to|my instructions forbid me to|nobody here will".split("|"),
+        "rewrite|rephrase|reword|paraphrase|process|handle|help with|assist with|join in|support|engage with|be part of|go along with|continue with|give a version of|work on|soften|repeat|provide a rewrite of|complete the request for".split("|"),
+        "this remark|such a comment|that post|hate speech|the text above|offensive language|insults of this sort|what was sent|abuse|attacks on people|content like that|this input|the comment|your message|a sentence of this kind|hateful language|the given words".split("|"),
+        "||| since it is offensive| because it breaks the usage policy| as it could hurt somebody| for safety reasons| because it insults people| as it attacks a person|; may I help in another way|, let us keep the talk friendly".split("|"),
+    ),
+    "passive": (
+        "|Note: |Sorry: ".split("|"),
+        "this input|the request|your sentence|the comment|such language|the content|the text|this message".split("|"),
+        "was blocked|has been refused|cannot be rewritten|was flagged as harmful|will not be processed|is withheld|violates the policy on hate|breaks the content rules|is not something I can rewrite|must be declined".split("|"),
+        "|||, so no rewrite is given|, and no version is offered| by the safety filter| because of its language".split("|"),
+    ),
+    "de": ("|Leider |Entschuldigung, |Bedaure, ".split("|"), "kann ich|ich kann|will ich|darf ich|werde ich|möchte ich".split("|"), "diesen Kommentar|so eine Nachricht|den Text oben|solche Beleidigungen|diese Eingabe".split("|"), "nicht bearbeiten|nicht weiterhelfen|dabei nicht helfen|nicht umschreiben|nicht umformulieren|keinesfalls wiedergeben|aus Sicherheitsgründen ablehnen|nicht behandeln, das verstößt gegen die Regeln".split("|")),
+    "fr": ("|Malheureusement |Pardon, |Je regrette, ".split("|"), "je ne peux pas|je ne veux pas|je ne vais pas|il m'est interdit de|je dois refuser de".split("|"), "aider avec|reformuler|réécrire|traiter|paraphraser|reprendre".split("|"), "ce commentaire|une telle phrase|de telles insultes|le texte ci-dessus|cette entrée, elle enfreint les règles".split("|")),
+    "es": ("|Por desgracia |Perdón, |Lamento decir que ".split("|"), "no puedo|no quiero|no voy a|no se me permite|debo negarme a".split("|"), "ayudar con|reformular|reescribir|tratar|parafrasear|procesar".split("|"), "este comentario|una frase así|tales insultos|el texto de arriba|esta entrada, infringe las normas".split("|")),
 }
 #: Sound sentences that look like refusals: they speak about not following or about being sorry and go on.
-ANSWERS = ["I am not able to follow this, because {}", "I'm sorry to say that {}", "Sorry, but {}", "Unfortunately, {}", "I can't agree here: {}", "I apologise if this is blunt, but {}", "I cannot see why {}", "Es tut mir leid, aber {}", "Désolé, mais {}", "Lo siento, pero {}", "Ich kann dem nicht folgen, denn {}", "Je ne peux pas être d'accord: {}", "No puedo estar de acuerdo: {}"]
+ANSWERS = ["I'm sorry to say that {}", "Sorry, but {}", "Unfortunately, {}", "I apologise if this is blunt, but {}", "I cannot see why {}", "I won't hide that {}", "I refuse to believe that {}", "Désolé, mais {}", "Leider: {}", "Ich kann dem nicht folgen, denn {}", "Je ne peux pas être d'accord: {}", "No puedo estar de acuerdo: {}", "Perdón, pero {}"]
+_ENGLISH = 7  # so many of them are English
+
+
+def refusal(rng: random.Random, lang: str = "en") -> str:
+    """A refusal in ``lang`` put together from parts of one form."""
+    kind = lang if lang in ("de", "fr", "es") else rng.choice(("en", "en", "passive"))
+    text = " ".join(part for part in (rng.choice(x).strip() for x in REFUSALS[kind]) if part)
+    text = text.replace(" ,", ",").replace(" ;", ";")
+    return text[:1].upper() + text[1:] + rng.choice((".", ".", ".", "", "!"))
+
 
 #: Frequent short words of the four languages.
 FUNCTION_WORDS = {
@@ -64,27 +63,26 @@ FUNCTION_WORDS = {
     "es": "el la los las un una y es de del en que no por para con se su sus al lo como más pero o si ya este esta yo tú nos fue ha muy así porque aunque mientras sin tu mi dos día año todo nadie".split(),
 }
 _OF = {w: k for k, ws in FUNCTION_WORDS.items() for w in ws}
-_SHARED = {w for k, ws in FUNCTION_WORDS.items() for w in ws if sum(w in v for v in FUNCTION_WORDS.values()) > 1}
+_TELLS = {w: k for w, k in _OF.items() if sum(w in v for v in FUNCTION_WORDS.values()) == 1}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _FRAME = re.compile(r"^[\s\"'“”«»*`>_-]*(?:<p>)?(?:(?:final |the )?(?:paraphrase|rewrite|output|answer|rewritten(?: text| sentence)?|here is (?:the|a|my) (?:rewrite|paraphrase)|result)(?: is)?\s*:)?[\s\"'“”«»*`>_-]*", re.I)
 
 
-def language(text: str) -> tuple[str, float]:
+_OTHER_SCRIPT = re.compile("[^\\W\\d_\x00-\u024f]")
+_LATIN_LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
+_TWO_LETTERS = re.compile(r"[^\W\d_][\W\d_]*[^\W\d_]")
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
+def language(text: str, words: list[str] | None = None) -> tuple[str, float]:
     """Guess by script and function words: (language or script, share of the evidence); '' when there is none."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
+    if not text.isascii() and (other := len(_OTHER_SCRIPT.findall(text))) and other > len(_LATIN_LETTER.findall(text)):
+        return "other", other / (other + len(_LATIN_LETTER.findall(text)))
+    found = [k for w in (_tokens(text) if words is None else words) if (k := _TELLS.get(w))]
+    if not found:
         return "", 0.0
-    other = sum(c > "ɏ" for c in letters)
-    if other > 0.5 * len(letters):
-        return "other", other / len(letters)
-    count = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in _WORD.findall(text.lower()):
-        k = _OF.get(w)
-        if k and w not in _SHARED:
-            count[k] += 1
-    best = max(count, key=count.get)
-    total = sum(count.values())
-    return (best, count[best] / total) if total else ("", 0.0)
+    best = max(FUNCTION_WORDS, key=found.count)
+    return best, found.count(best) / len(found)
 
 
 def _tokens(t: str) -> list[str]:
@@ -106,6 +104,7 @@ class Usage:
     words: frozenset[str] = frozenset()
     last: frozenset[str] = frozenset()
     last_pair: frozenset[tuple[str, str]] = frozenset()
+    stock: frozenset[str] = frozenset()  # short answers to sentences they share no word with, given at least thrice
 
     @classmethod
     def of(cls, texts: list[str], least: int = 2) -> Usage:
@@ -121,20 +120,19 @@ class Usage:
         return cls(*(frozenset(k for k, n in c.items() if n >= least) for c in (words, last, pair)))
 
 
-def _tail(text: str, sentence: list[str], usage: Usage) -> list[str]:
+def _tail(text: str, w: list[str], sentence: list[str], usage: Usage) -> list[str]:
     """How an answer ends: with a stop or not, in a known way or not, and whether the sentence goes on there."""
     bare = text.rstrip()
     end = "none" if not bare else "stop" if bare[-1] in ".!?。…\"'”»)*`>:" else "word" if bare[-1].isalnum() else "other"
     out = [f"end={end}"]
-    w = _tokens(bare)
     if w and end == "word":
         out.append(f"word={w[-1] in usage.words}")
         out.append(f"last={w[-1] in usage.last}")
         if len(w) > 1:
             out.append(f"pair={(w[-2], w[-1]) in usage.last_pair}")
         state = "away"
-        for i in range(1, len(sentence) - 1):
-            if len(w) >= 3 and sentence[i] == w[-2] and sentence[i - 1] == w[-3]:
+        for i in range(1, len(sentence) - 1) if len(w) >= 3 else ():
+            if sentence[i] == w[-2] and sentence[i - 1] == w[-3]:
                 nxt = sentence[i + 1]
                 if nxt == w[-1]:
                     after = sentence[i + 2] if i + 2 < len(sentence) else "."
@@ -149,26 +147,32 @@ def _tail(text: str, sentence: list[str], usage: Usage) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def _seen(text: str) -> tuple[str, list[str], frozenset[str]]:
+    """A text as read, its words and their set; sentences come with several answers."""
+    t = flat(text)
+    w = _tokens(t)
+    return t, w, frozenset(w)
+
+
 def dense(sentence: str | None, reasoning: str | None, paraphrase: str | None, usage: Usage) -> list[str]:
     """Pair features as names."""
-    s, r, p = (flat(x or "") for x in (sentence, reasoning, paraphrase))
+    (s, sw, known), (r, rw, _), (p, pw, _) = (_seen(x or "") for x in (sentence, reasoning, paraphrase))
     out = []
-    for name, text, raw in (("r", r, reasoning), ("p", p, paraphrase)):
-        words = _tokens(text)
-        content = sum(c.isalpha() for c in text)
+    pieces = _PIECE.findall(s.lower())
+    for name, text, words, raw in (("r", r, rw, reasoning), ("p", p, pw, paraphrase)):
         out.append(f"{name}:len={min(len(words), 8)}")
-        if raw is None or content < 2:
+        if raw is None or not _TWO_LETTERS.search(text):
             out.append(f"{name}:void")
-        if len(words) <= 3:
-            out.append(f"{name}:short={' '.join(words)}")
-    sw = _tokens(s)
-    pieces = _PIECE.findall(s.lower())
-    for name, text in (("r", r), ("p", p)):
-        out += [f"{name}:{f}" for f in _tail(text, pieces, usage)]
-    known = set(sw)
+        if len(words) <= 4:
+            if len(words) <= 2:
+                out.append(f"{name}:short={' '.join(words)}")
+            if " ".join(words) in usage.stock:
+                out.append(f"{name}:stock")
+        out += [f"{name}:{f}" for f in _tail(text, words, pieces, usage)]
     # what the reasoning quotes from the sentence says nothing about its own language
-    own = " ".join(w for w in _tokens(r) if w not in known)
-    ls, lr, lp = language(s), language(own), language(p)
+    own = [w for w in rw if w not in known]
+    ls, lr, lp = language(s, sw), language(" ".join(own), own), language(p, pw)
     out.append(f"lang:r={'en' if lr[0] == 'en' else 'none' if not lr[0] else 'foreign'}")
     if lr[0] == "other":
         out.append("lang:r=script")
@@ -178,11 +182,17 @@ def dense(sentence: str | None, reasoning: str | None, paraphrase: str | None, u
             out.append(f"lang:p=differs{_bin(lp[1])}")
             if lp[0] == "other":
                 out.append("lang:p=script")
+        # a rewrite may go on in another language
+        new = [w for w in pw if w not in known]
+        ln = language(" ".join(new), new)
+        out.append(f"lang:new={'none' if not ln[0] else 'same' if ln[0] == ls[0] else f'differs{min(len(new) // 4, 3)}'}")
     if p:
-        core = _tokens(_FRAME.sub("", p))
+        at = _FRAME.match(p)
+        core = _tokens(p[at.end() :]) if at and at.end() else pw
         if sw and core:
-            a, b = set(sw), set(core)
-            cover, kept = len(a & b) / len(a), len(a & b) / len(b)
+            b = set(core)
+            both = len(known & b)
+            cover, kept = both / len(known), both / len(b)
             out += [f"cover={_bin(cover)}", f"kept={_bin(kept)}"]
             if core == sw:
                 out.append("same")
@@ -191,30 +201,36 @@ def dense(sentence: str | None, reasoning: str | None, paraphrase: str | None, u
             letters = _letters(s)
             # whether it holds the sentence but for marks, blanks and case
             out.append(f"letters={len(letters) >= 8 and letters in _letters(p)}")
-            out.append(f"lost={min(len(a - b), 6)}")
+            out.append(f"lost={min(len(known) - both, 6)}")
     return out
 
 
 def _letters(t: str) -> str:
-    return "".join(c for c in t.lower() if c.isalnum())
+    return _NO_LETTER.sub("", t.lower())
 
 
 def _hash(names: list[str]) -> list[int]:
-    import zlib
+    return [_number(n) for n in names]
 
-    return [zlib.crc32(n.encode()) & (SIZE - 1) for n in names]
 
+@functools.lru_cache(maxsize=1 << 14)
+def _number(name: str) -> int:
+    return zlib.crc32(name.encode()) & (SIZE - 1)
 
-def features(pairs: list[tuple[str | None, str | None, str | None]], usage: Usage) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+def features(pairs: list[tuple[str | None, str | None, str | None]], usage: Usage, kept: dict | None = None) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sparse features (row, number below 2 * SIZE, value) per defect: pair features beside hashed n-grams.
 
-    ``empty``, ``copy`` and ``other_language`` see the pair features; ``truncated`` also the last characters
+    ``empty`` and ``copy`` see the pair features, ``other_language`` those on language; ``truncated`` also the last characters
     and words of both answers; ``refusal`` the n-grams of the rewrite's own wording. N-grams of a row share
-    the weight of nine pair features.
+    the weight of nine pair features. ``kept`` holds pair features already made.
     """
-    names = [dense(*p, usage) for p in pairs]
+    kept = {} if kept is None else kept
+    names = [kept.get(p) or kept.setdefault(p, dense(*p, usage)) for p in pairs]
     rows = np.repeat(np.arange(len(pairs)), [len(n) for n in names])
     pair = rows, np.array([h for n in names for h in _hash(n)], np.int64), np.ones(len(rows))
+    spoken = np.array([x.startswith("lang:") for n in names for x in n], bool)
+    tongue = tuple(x[spoken] for x in pair)
 
     def join(r: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         value = 3 / np.sqrt(np.maximum(np.bincount(r, minlength=len(pairs)), 1))
@@ -224,20 +240,20 @@ def features(pairs: list[tuple[str | None, str | None, str | None]], usage: Usag
     ends, owner = [], []
     for i, (_, reasoning, paraphrase) in enumerate(pairs):
         for name, t in (("r", reasoning), ("p", paraphrase)):
-            t = flat(t or "").rstrip().lower()
+            t, w, _ = _seen(t or "")
+            t = t.rstrip().lower()
             if t:
-                w = _tokens(t)
                 got = [f"{name}e{n}:{t[-n:]}" for n in (1, 2, 3)] + [f"e:{' '.join(w[-n:])}|{t[-1] in _STOP}" for n in (1, 2)]
                 ends += got
                 owner += [i] * len(got)
     truncated = join(np.array(owner, np.int64), np.array(_hash(ends), np.int64))
-    return {"empty": pair, "copy": pair, "other_language": pair, "truncated": truncated, "refusal": refusal}
+    return {"empty": pair, "copy": pair, "other_language": tongue, "truncated": truncated, "refusal": refusal}
 
 
 def _own(sentence: str | None, rewrite: str | None) -> str:
     """The rewrite's own wording: words it shares with the sentence are hidden."""
-    known = set(_tokens(flat(sentence or "")))
-    return " ".join("_" if w in known else w for w in _tokens(flat(rewrite or "")))
+    known = _seen(sentence or "")[2]
+    return " ".join("_" if w in known else w for w in _seen(rewrite or "")[1])
 
 
 @dataclass
@@ -246,28 +262,24 @@ class Classifier:
     thresholds: dict[str, float]
     usage: Usage
 
-    def score(self, pairs: list[tuple[str | None, str | None, str | None]]) -> dict[str, np.ndarray]:
+    def score(self, pairs: list[tuple[str | None, str | None, str | None]], kept: dict | None = None) -> dict[str, np.ndarray]:
         """Log-odds over the threshold per defect."""
         out = {}
-        for name, (rows, feats, values) in features(pairs, self.usage).items():
+        for name, (rows, feats, values) in features(pairs, self.usage, kept).items():
             w = self.weights[name]
             out[name] = np.bincount(rows, w[feats] * values, len(pairs)) + w[-1] - self.thresholds[name]
         return out
 
 
-def synthesise(sound: list[tuple[str, str, str]], langs: list[str], rng: random.Random) -> tuple[list[tuple[str | None, str | None, str | None]], list[set[str]]]:
-    """Broken copies of pairs: cut, copied, swapped, refused and emptied answers, with their labels."""
+def synthesise(sound: list[tuple[str, str, str]], langs: list[str], rng: random.Random, stock: list[str] = ()) -> tuple[list[tuple[str | None, str | None, str | None]], list[set[str]]]:
+    """Broken copies of pairs: cut, copied, swapped, refused and emptied answers, with their labels.
+
+    ``stock`` holds short answers that the data give to many sentences.
+    """
     by: dict[str, list[int]] = {}
     for i, k in enumerate(langs):
         by.setdefault(k, []).append(i)
 
-    def refuse() -> str:
-        if rng.random() < 0.5:
-            return rng.choice(REFUSALS["whole"])
-        head = rng.choice(REFUSALS["head"])
-        text = f"{head} {rng.choice(REFUSALS['deny'])} {rng.choice(REFUSALS['what'])}{rng.choice(REFUSALS['tail'])}".strip()
-        return text if text.endswith("?") else text + "."
-
     def cut(t: str) -> str:
         n = len(t)
         if n < 12:
@@ -281,15 +293,15 @@ def synthesise(sound: list[tuple[str, str, str]], langs: list[str], rng: random.
                 return t[:k]
         return t
 
-    foreign = ["这条评论攻击了个人，而不是问题本身。", "我觉得这份表格晚了三个星期，请再看一下。", "Комментарий нападает на человека, а не на проблему.", "Я думаю, этот рецепт никому не понятен.", "Il commento attacca la persona e non il problema.", "De opmerking valt de persoon aan.", "コメントは人を攻撃しています。", "O comentário ataca a pessoa e não o problema."]
+    foreign = ["这条评论攻击了个人，而不是问题本身。", "我觉得这份表格晚了三个星期，请再看一下。", "Автор говорит о людях, хотя речь шла о расписании.", "Я думаю, этот рецепт никому не понятен.", "Il commento attacca la persona e non il problema.", "De opmerking valt de persoon aan.", "コメントは人を攻撃しています。", "O comentário ataca a pessoa e não o problema."]
     out: list[tuple[str | None, str | None, str | None]] = []
     y: list[set[str]] = []
     for i, (s, r, p) in enumerate(sound):
         k = rng.randrange(10)
         if k <= 1:
             which = rng.random()
-            void = rng.choice(STAND_INS + [None])
-            out.append((s, r, void) if which < 0.5 else (s, void, p) if which < 0.8 else (s, void, rng.choice(STAND_INS + [None])))
+            void = rng.choice(stock if stock and rng.random() < 0.3 else STAND_INS + [None])
+            out.append((s, r, void) if which < 0.5 else (s, void, p) if which < 0.8 else (s, void, void))
             y.append({"empty"})
         elif k == 2:
             out.append((s, r, cut(p)))
@@ -298,7 +310,7 @@ def synthesise(sound: list[tuple[str, str, str]], langs: list[str], rng: random.
             out.append((s, cut(r), p))
             y.append({"truncated"} if out[-1][1] != r else set())
         elif k in (4, 9):
-            out.append((s, r, refuse()))
+            out.append((s, r, refusal(rng, langs[i])))
             y.append({"refusal"})
         elif k == 5:
             form = rng.choice((s, s, s.upper(), s.lower(), s.rstrip(".!?"), "  ".join(s.split()), re.sub(r"[^\w\s]", "", s)))
@@ -316,30 +328,54 @@ def synthesise(sound: list[tuple[str, str, str]], langs: list[str], rng: random.
             y.append({"other_language"})
         else:
             body = p[:1].lower() + p[1:]
-            out.append((s, r, rng.choice(ANSWERS[:7] if langs[i] == "en" else ANSWERS[7:]).format(body)))
+            out.append((s, r, rng.choice(ANSWERS[:_ENGLISH] if langs[i] == "en" else ANSWERS[_ENGLISH:]).format(body)))
             y.append(set() if langs[i] == "en" or language(out[-1][2])[0] == langs[i] else {"other_language"})
     return out, y
 
 
+def _related(sentence: str, rewrite: str, least: float = 0.25) -> bool:
+    """Whether a rewrite takes up the sentence; others are no examples of sound ones, whatever their wording."""
+    known, words = _seen(sentence)[2], _seen(rewrite)[2]
+    return len(known & words) >= least * len(words)
+
+
+def _stock(pairs: list[tuple[str | None, str | None, str | None]], words: int = 4, times: int = 3) -> frozenset[str]:
+    given: dict[str, set[str]] = {}
+    for s, *answers in pairs:
+        known = _seen(s or "")[2]
+        for t in answers:
+            w = _seen(t or "")[1]
+            if 0 < len(w) <= words and not known.intersection(w):
+                given.setdefault(" ".join(w), set()).add(s or "")
+    return frozenset(t for t, to in given.items() if len(to) >= times)
+
+
 def train(pairs: list[tuple[str | None, str | None, str | None]], seed: int = 3) -> Classifier:
-    """Fit on given pairs (taken as sound, less those a first fit calls broken) and their broken copies."""
+    """Fit on given pairs and their broken copies; taken as sound are pairs whose rewrite takes up the sentence, less those a first fit calls broken."""
     rng = random.Random(seed)
-    keep = [p for p in pairs if p[0] and p[1] and p[2] and len(p[2].split()) >= 3 and len(p[1].split()) >= 3]
-    usage = Usage.of([flat(t) for p in keep for t in p])
+    keep = [p for p in pairs if p[0] and p[1] and p[2] and len(p[2].split()) >= 3 and len(p[1].split()) >= 3 and _related(p[0], p[2])]
+    # answers in the sentence's language that do not take it up: where later fits find a refusal, they are examples of one
+    aside = [p for p in pairs if p[0] and p[1] and p[2] and len(p[2].split()) >= 3 and not _related(p[0], p[2]) and language(flat(p[0]))[0] == language(flat(p[2]))[0]]
+    usage = replace(Usage.of([flat(t) for p in keep for t in p]), stock=_stock(pairs))
     weights = {name: np.zeros(2 * SIZE + 1) for name in DEFECTS}
     thresholds = dict.fromkeys(DEFECTS, 0.0)
     turns = 3
+    kept: dict = {}
     for turn in range(turns):
         if not keep:
             break
         final = turn == turns - 1
         langs = [language(flat(p[0]))[0] for p in keep]
-        broken, labels = synthesise(keep, langs, rng)
+        broken, labels = synthesise(keep, langs, rng, sorted(usage.stock))
+        if turn and aside:
+            sure = Classifier(weights, thresholds, usage).score(aside, kept)["refusal"] > -1
+            more = [p for p, hit in zip(aside, sure, strict=True) if hit]
+            broken, labels = broken + more, labels + [{"refusal"}] * len(more)
         data, y = keep + broken, [set()] * len(keep) + labels
-        feats = features(data, usage)
+        feats = features(data, usage, kept)
         test = np.array([final and rng.random() < 0.2 for _ in data])
         # gentle at first: broken pairs among the given ones must not be learned by heart as sound
-        how = {"l2": 1e-6, "rounds": 10, "rate": 0.5} if final else {"l2": 1e-4, "rounds": 5, "rate": 0.2}
+        how = {"l2": 1e-6, "rounds": 16, "rate": 0.5} if final else {"l2": 1e-4, "rounds": 5, "rate": 0.2}
         for name in DEFECTS:
             target = np.array([float(name in t) for t in y])
             rows, f, value = feats[name]
@@ -352,13 +388,13 @@ def train(pairs: list[tuple[str | None, str | None, str | None]], seed: int = 3)
                 score = np.bincount(rows, w[f] * value, len(data)) + w[-1]
                 thresholds[name] = calibrate(score[test], target[test])
         if not final:
-            s = Classifier(weights, thresholds, usage).score(keep)
+            s = Classifier(weights, thresholds, usage).score(keep, kept)
             bad = np.any([s[name] > 0 for name in DEFECTS], axis=0)
             keep = [p for p, b in zip(keep, bad, strict=True) if not b]
     return Classifier(weights, thresholds, usage)
 
 
-def classifier(df: DataFrame, key: str, sentence: str, reasoning: str, paraphrase: str, sample_rows: int = 6_000, seed: int = 3) -> Classifier:
+def classifier(df: DataFrame, key: str, sentence: str, reasoning: str, paraphrase: str, sample_rows: int = 5_000, seed: int = 3) -> Classifier:
     """Train on at most about ``sample_rows`` rows picked by a hash of the key."""
     n = df.count()
     pick = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(max(n, 1))) < sample_rows) if n > sample_rows else df
@@ -389,7 +425,7 @@ def broken_pairs(df: DataFrame, key: str = "gen_id", sentence: str = "sentence",
                     got = {n: float(every[n][i]) for n in DEFECTS if every[n][i] > 0}
                     if "empty" in got:
                         # without wording an answer cannot show another defect; the other answer still can
-                        void = [not any(c.isalpha() for c in flat(t or "")) for t in pairs[i][1:]]
+                        void = [not _TWO_LETTERS.search(flat(t or "")) for t in pairs[i][1:]]
                         if all(void):
                             got = {"empty": got["empty"]}
                     for n, v in got.items():

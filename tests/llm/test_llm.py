@@ -384,7 +384,7 @@ def test_abuse_edges(spark, detector):
 
 @pytest.fixture(scope="module")
 def classifier(spark):
-    return defects.classifier(queries.table(spark, "/root/testdata/sf0.1", "paraphrase_generation"), "gen_id", "sentence", "result.reasoning", "result.paraphrase")
+    return defects.classifier(queries.table(spark, "/root/testdata/sf0.01", "paraphrase_generation"), "gen_id", "sentence", "result.reasoning", "result.paraphrase")
 
 
 def test_defects_held_out(classifier):
@@ -404,11 +404,30 @@ def test_defects_held_out(classifier):
         ((s, r, f'Paraphrase: "{s}"'), {"copy"}),
         ((s, r, s.upper()), {"copy"}),
         ((s, r, "Es tut mir leid, aber die Anleitung für den Kessel kommt drei Wochen zu spät."), {"other_language"}),
-        ((s, "Комментарий нападает на человека, а не на проблему.", good), {"other_language"}),
+        ((s, "Стиль остался прежним, грубые слова убраны.", good), {"other_language"}),
     ]
     got = classifier.score([c[0] for c in cases])
     wrong = [(c[0], want, have) for i, (c, want) in enumerate([(c, c[1]) for c in cases]) if (have := {n for n in defects.DEFECTS if got[n][i] > 0}) != want]
-    assert len(wrong) <= 1, wrong
+    assert wrong == []
+
+
+def test_refusals_of_unseen_wording(classifier):
+    """Refusals that no part list spells out; a few may be missed, a sound rewrite may not be taken for one."""
+    s, r = "The choir rota is a mess and you are a fool!", "No new claim is added. The style stays informal."
+    refused = """I have to turn this down because it attacks people.
+I can't take part in rewording abuse.
+That is not a text I can work with.
+Let us talk about something else, I will not rewrite insults.
+This goes against what I may produce.
+My policy does not permit paraphrases of hateful remarks.
+I must pass on this one, the language is abusive.
+I cannot fulfil a wish like this.
+I am sorry, I can't reword hateful messages.
+Rewriting such words is not possible for me.
+I decline to process that.
+As an assistant I will not touch slurs.""".split("\n")
+    got = classifier.score([(s, r, t) for t in refused] + [(s, r, "The choir rota is a mess."), (s, r, "Sorry, but the choir rota is hard to read.")])["refusal"] > 0
+    assert got[:-2].mean() >= 0.9 and not got[-2:].any()
 
 
 def test_defects_edges(spark, classifier):
