@@ -53,27 +53,32 @@ def normalise(text: str) -> tuple[str, np.ndarray | None]:
     Combining marks join the letter before them; letters that only look Latin become Latin inside words
     that hold a Latin letter, so words of other scripts stay.
     """
-    if text.isascii() or all(map(_plain, set(text))):
+    if text.isascii() or not (odd := [c for c in set(text) if not _plain(c)]):
         return text, None
-    out: list[str] = []
-    at: list[int] = []
-    for i, ch in enumerate(text):
-        if ch < "\x80":
-            out.append(ch)
-            at.append(i)
-            continue
-        if unicodedata.combining(ch) and out:
-            both = unicodedata.normalize("NFC", out[-1] + ch)
+    parts: list[str] = []
+    at: list[np.ndarray] = []
+    done = 0
+    for m in re.finditer(f"[{re.escape(''.join(sorted(odd)))}]", text):
+        i, ch = m.start(), m[0]
+        if i > done:
+            parts.append(text[done:i])
+            at.append(np.arange(done, i))
+        done = i + 1
+        if unicodedata.combining(ch) and parts:
+            both = unicodedata.normalize("NFC", parts[-1][-1] + ch)
             if len(both) == 1:
-                out[-1] = both
+                parts[-1] = parts[-1][:-1] + both
             continue
-        for c in seen(ch):
-            out.append(c)
-            at.append(i)
-    s = "".join(out)
+        if new := seen(ch):
+            parts.append(new)
+            at.append(np.full(len(new), i))
+    if done < len(text):
+        parts.append(text[done:])
+        at.append(np.arange(done, len(text)))
+    s = "".join(parts)
     if _FOREIGN.search(s):
         s = _MIXED.sub(lambda m: m[0].translate(_LOOK) if _LATIN.search(m[0]) and _FOREIGN.search(m[0]) else m[0], s)
-    return s, np.array(at, np.int64)
+    return s, np.concatenate(at) if at else np.empty(0, np.int64)
 
 
 def back(at: np.ndarray | None, start: int, end: int, length: int) -> tuple[int, int]:

@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -288,9 +289,51 @@ CASES = [
 ]
 
 
+#: People that no table and no list names.
+UNSEEN = """Please forward the contract to [Beatriz Carvalho] today.
+[Kevin O'Brien] and [Aisha Rahman] reviewed the draft.
+We met [Giovanni Ferrari] after the talk.
+Yesterday [Priya Natarajan] sent the logs.
+The keys are with [Magnus Lindahl] until noon.
+Dr. [Wolfgang Reiter] will call back.
+Best regards, [Chloe Dubarry-Kent]
+I heard from [Tariq Siddiqui] that the plan changed.
+The note by [Olena Kravchuk] is on the desk.
+My name is [Jack T. Sundberg] and I agree.
+Frau [Hannelore Zieglmeier] stimmt zu.
+Je m'appelle [Bérengère Caillaux].""".split("\n")
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    return pii.learned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+
+
 @pytest.mark.parametrize("t,want", CASES)
-def test_personal_data(t, want):
-    assert {(k, pii.said(t[a:b])) for a, b, k in pii.find(t)} == want
+def test_personal_data(names, t, want):
+    assert {(k, pii.said(t[a:b])) for a, b, k in pii.find(t, names)} == want
+
+
+@pytest.mark.parametrize("t", UNSEEN)
+def test_unseen_names(names, t):
+    want = re.findall(r"\[(.*?)\]", t)
+    t = re.sub(r"[\[\]]", "", t)
+    assert [t[a:b] for a, b, k in pii.find(t, names)] == want
+
+
+def test_account_numbers_are_no_phones(names):
+    t = "Pay to DE89 3704 0044 0532 0130 00 by Monday."
+    assert [(t[a:b], k) for a, b, k in pii.find(t, names)] == [("DE89 3704 0044 0532 0130 00", "id_number")]
+
+
+def test_names_learned_from_wording():
+    """Names that one wording announces teach another wording, which teaches further names."""
+    people = [f"{a} {b}" for a in ("Ona", "Pio", "Rue", "Sef", "Tia") for b in ("Vost", "Wend", "Xant")]
+    texts = [f"My name is {p}. The list is long." for p in people] + [f"the memo from {p} says no" for p in people] + ["the memo from Uma Yarrow says no", "Cedar Lite gave an answer", "cedar wood and lite beer", "cedar and lite"]
+    n = pii.Names.learn(texts)
+    assert ("from", "says") in n.frames and "ona" in n.given and "vost" in n.family
+    t = "the memo from Uma Yarrow says no, Cedar Lite says yes to pio wend"
+    assert [t[a:b] for a, b, _ in pii.find(t, n)] == ["Uma Yarrow", "pio wend"]
 
 
 def test_redaction_keeps_the_rest(spark):
@@ -301,9 +344,9 @@ def test_redaction_keeps_the_rest(spark):
     assert pii.personal_data(df).count() == 2 and pii.personal_data(df.limit(0)).count() == 0
 
 
-def test_long_text_is_read_whole():
+def test_long_text_is_read_whole(names):
     t = "word " * 100_000 + "Call me on 020 7946 0446 after six."
-    assert [k for _, _, k in pii.find(t)] == ["phone"]
+    assert [k for _, _, k in pii.find(t, names)] == ["phone"]
 
 
 @settings(max_examples=200, deadline=None)
@@ -311,9 +354,9 @@ def test_long_text_is_read_whole():
 def test_spans_map_back(t):
     s, at = text.normalise(t)
     assert at is None or (len(at) == len(s) and all(0 <= i < len(t) for i in at) and list(at) == sorted(at))
-    for a, b, _ in pii.find(t):
+    for a, b, _ in pii.find(t, pii.Names()):
         assert 0 <= a < b <= len(t)
-    unicodedata.normalize("NFC", pii.redact(t))
+    unicodedata.normalize("NFC", pii.redact(t, pii.Names()))
 
 
 # 2 and 3
