@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from attune.functions.names import canonical_name
 from attune.storage import cut, maybe_broadcast
 
-#: Most labels (ranked systems) the wide form has columns for.
-MAX_LABELS = 64
-
 
 @dataclass
 class Consensus:
@@ -24,6 +21,7 @@ class Consensus:
     annotators: DataFrame
     agreement: DataFrame
     rounds: int
+    stable: bool  # whether the weights stood still before the last allowed round
 
 
 def ratings(df: DataFrame, item: str, annotator: str, ranking: str, low: int, high: int) -> tuple[DataFrame, list[str]]:
@@ -35,9 +33,7 @@ def ratings(df: DataFrame, item: str, annotator: str, ranking: str, low: int, hi
     """
     pairs = df.where(F.col(item).isNotNull() & F.col(annotator).isNotNull()).select(F.col(item).alias("item"), F.col(annotator).alias("annotator"), F.explode(ranking).alias("label", "rank"))
     pairs = pairs.where(F.col("rank").between(low, high)).withColumn("label", canonical_name(F.col("label"))).where("label IS NOT NULL")
-    labels = sorted(r[0] for r in pairs.select("label").distinct().limit(MAX_LABELS + 1).collect())
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    labels = sorted(r[0] for r in pairs.select("label").distinct().collect())  # the ranked systems, a few columns each
     each = [F.avg(F.when(F.col("label") == name, F.col("rank").cast("double"))).alias(f"r{k}") for k, name in enumerate(labels)]
     return pairs.groupBy("item", "annotator").agg(*each) if each else pairs.groupBy("item", "annotator").agg(F.count("*").alias("n")), labels
 
@@ -68,10 +64,10 @@ def _alpha(rated: DataFrame, k: int) -> DataFrame:
     return t.select(F.when(expected > 0, 1 - F.col("o") / expected).alias("alpha"), F.coalesce("N", F.lit(0)).alias("ratings"), F.coalesce("items", F.lit(0)).alias("items"))
 
 
-def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", ranking: str = "ranking", low: int = 1, high: int = 5, prior: float = 40.0, tol: float = 0.02, rounds: int = 15) -> Consensus:
+def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", ranking: str = "ranking", low: int = 1, high: int = 5, prior: float = 40.0, tol: float = 0.02, rounds: int = 60) -> Consensus:
     """Consensus ranking per item, reliability per annotator and agreement over all.
 
-    Alternates two steps until no weight moves by more than ``tol`` of the largest: (1) an item's score of a label is the
+    Alternates two steps until no weight moves by more than ``tol`` (``stable`` tells whether that came within ``rounds``): (1) an item's score of a label is the
     weighted mean of the annotators' centred ranks; (2) an annotator's accuracy is the share of label pairs
     put in the same order as the consensus of the *other* annotators of that item, smoothed by ``prior``
     pairs at the mean accuracy; its weight is the squared log-odds of that accuracy (a precision), none at or below chance.
@@ -101,7 +97,7 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
         aggs = [F.sum(F.col("w") * F.col(f"s{i}")).alias(f"t{i}") for i in range(k)] + [F.sum(F.when(F.col(f"s{i}").isNotNull(), F.col("w"))).alias(f"n{i}") for i in range(k)]
         return x.groupBy("item").agg(*aggs, F.count("*").alias("raters"))
 
-    stats = None
+    stats, stable = None, not k
     for n in range(1, rounds + 1 if k else 0):
         x = weighted(weights)
         # both sides of the join derive from the checkpointed ratings
@@ -117,9 +113,9 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
         new = weights.join(stats, "annotator", "left").select("annotator", F.col("w").alias("old"), "good", "pairs", "items", F.coalesce(accuracy, F.lit(base)).alias("accuracy"))
         new = new.withColumn("w", F.when(F.col("accuracy") > 0.5, F.pow(F.coalesce(F.log(F.col("accuracy") / (1 - F.col("accuracy") + 1e-9)), F.lit(0.0)), 2)).otherwise(0.0))
         stats = cut(new)
-        moved = stats.agg(F.max(F.abs(F.col("w") - F.col("old"))).alias("d"), F.max("w").alias("top")).first()
+        moved = stats.agg(F.max(F.abs(F.col("w") - F.col("old")))).first()[0]
         weights = stats.select("annotator", "w")
-        if moved["d"] is None or moved["d"] < tol * max(moved["top"], 1e-6):
+        if stable := moved is None or moved < tol:
             break
     empty = "annotator", "items", "pairs", "accuracy", "w"
     if stats is None:
@@ -136,4 +132,4 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
         long = item_sums.select("item", "raters", F.explode(cells).alias("c")).select("item", "c.label", "c.score", "c.firsts", "raters").where("score IS NOT NULL")
         order = Window.partitionBy("item").orderBy(F.round("score", 9).desc(), F.desc("firsts"), F.asc("label"))
         scores = long.withColumn("place", F.row_number().over(order))
-    return Consensus(scores, annotators, _alpha(rated, k) if k else rated.sparkSession.createDataFrame([(None, 0, 0)], "alpha DOUBLE, ratings BIGINT, items BIGINT"), n)
+    return Consensus(scores, annotators, _alpha(rated, k) if k else rated.sparkSession.createDataFrame([(None, 0, 0)], "alpha DOUBLE, ratings BIGINT, items BIGINT"), n, stable)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,62 +43,112 @@ class Index:
     ids: list[int]
     threshold: float
     triples: list[set[int]]  # per item: its own runs of three words
+    run: np.ndarray  # all of those runs, ascending
+    holder: np.ndarray  # the item each belongs to
 
 
-def build(rows: list[tuple[int, str | None]], least: int, shared: int, shared_run: int, slack: float, block: int, common: float = 0.3, k1: float = 1.2, b: float = 0.75) -> Index:
-    """Index of (item_id, text). Runs of ``shared_run`` words that ``shared`` items or more have are nobody's own.
+@dataclass
+class Statistics:
+    """What all items together say, however many indexes they are dealt to."""
+
+    n: int
+    mean: float  # own words per item
+    common: Counter  # items per word, shared wording left out
+    shared: set[int]  # hashes of runs that are nobody's own
+    threshold: float
+
+
+_K1, _B = 1.2, 0.75
+
 
-    Words that more than a ``common`` share of at least ten items have get no postings: they retrieve
-    everything and tell nothing apart. The threshold is ``slack`` times the lowest score that any ``least`` consecutive own words of any item
-    give that item: a verbatim passage of that length is always retrieved.
+def _own(w: list[str], shared: set[int], shared_run: int) -> list[bool]:
+    """Which words of an item stand in no shared run."""
+    own = [True] * len(w)
+    for j in range(len(w) - shared_run + 1):
+        if hash(tuple(w[j : j + shared_run])) in shared:
+            own[j : j + shared_run] = [False] * shared_run
+    return own
+
+
+def _impacts(w: list[str], own: list[bool], s: Statistics) -> dict[str, float]:
+    """BM25 impact of each own word of an item."""
+    count = Counter(x for x, mine in zip(w, own, strict=True) if mine)
+    size = sum(count.values())
+    idf = lambda x: math.log(1 + (s.n - s.common[x] + 0.5) / (s.common[x] + 0.5))
+    return {x: idf(x) * c * (_K1 + 1) / (c + _K1 * (1 - _B + _B * size / s.mean)) for x, c in count.items()}
+
+
+def gather(rows: Callable[[], Iterable[str]], least: int, shared: int, shared_run: int, slack: float) -> Statistics:
+    """Statistics of all item texts in three passes over ``rows()``, keeping counts only.
+
+    Runs of ``shared_run`` words that ``shared`` items or more have are nobody's own. The threshold is ``slack``
+    times the lowest score that any ``least`` consecutive own words of any item give that item: a verbatim passage
+    of that length is always retrieved.
     """
-    texts = [(i, words(t)) for i, t in sorted(rows)]
-    texts = [(i, w) for i, w in texts if w]
     runs: Counter = Counter()
-    for _, w in texts:
-        runs.update({tuple(w[j : j + shared_run]) for j in range(len(w) - shared_run + 1)})
+    for t in rows():
+        w = words(t)
+        runs.update({hash(tuple(w[j : j + shared_run])) for j in range(len(w) - shared_run + 1)})
+    s = Statistics(0, 1.0, Counter(), {r for r, c in runs.items() if c >= shared}, math.inf)
+    total = 0
+    for t in rows():
+        if w := words(t):
+            mine = [x for x, own in zip(w, _own(w, s.shared, shared_run), strict=True) if own]
+            s.n, total = s.n + 1, total + len(mine)
+            s.common.update(set(mine))
+    s.mean = max(total / max(s.n, 1), 1.0)
+    low = math.inf
+    for t in rows():
+        w = words(t)
+        own = _own(w, s.shared, shared_run)
+        impact = _impacts(w, own, s)
+        for j in range(len(w) - least + 1):
+            if all(own[j : j + least]):
+                low = min(low, sum(impact[x] for x in set(w[j : j + least])))
+    s.threshold = slack * low
+    return s
+
+
+def build(rows: list[tuple[int, str | None]], stats: Statistics, shared_run: int, block: int) -> Index:
+    """Index of (item_id, text) under the statistics of all items."""
+    texts = [(i, w) for i, w in ((i, words(t)) for i, t in sorted(rows)) if w]
     vocabulary: dict[str, int] = {}
     own: list[np.ndarray] = []
-    for _, w in texts:
+    lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
+    for d, (_, w) in enumerate(texts):
+        mine = _own(w, stats.shared, shared_run)
         ids = np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64)
-        for j in range(len(w) - shared_run + 1):
-            if runs[tuple(w[j : j + shared_run])] >= shared:
-                ids[j : j + shared_run] = -2
+        ids[~np.array(mine)] = -2
         own.append(ids)
-    n, size = len(own), [int((o >= 0).sum()) for o in own]
-    mean = sum(size) / n if n else 1.0
-    lists: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for d, o in enumerate(own):
-        for t, c in Counter(o[o >= 0].tolist()).items():
-            lists[t].append((d, c))
+        for x, v in _impacts(w, mine, stats).items():
+            lists[vocabulary[x]].append((d, v))
     postings, blocks, bound = [], [], np.zeros(len(vocabulary) + 1)
-    impact: list[dict[int, float]] = [{} for _ in own]
     for t in range(len(vocabulary)):
-        p = lists.get(t, [])
-        if n >= 10 and len(p) > common * n:
-            p = []
-        idf = math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5))
-        score = [idf * c * (k1 + 1) / (c + k1 * (1 - b + b * size[d] / mean)) for d, c in p]
-        docs = [d for d, _ in p]
-        for d, s in zip(docs, score, strict=True):
-            impact[d][t] = s
+        docs, score = [d for d, _ in lists[t]], [v for _, v in lists[t]]
         postings.append((docs, score))
         blocks.append(([docs[min(j + block, len(docs)) - 1] for j in range(0, len(docs), block)], [max(score[j : j + block]) for j in range(0, len(docs), block)]))
         bound[t] = max(score, default=0.0)
-    low = math.inf
-    for d, o in enumerate(own):
-        for j in range(len(o) - least + 1):
-            part = o[j : j + least]
-            if (part >= 0).all():
-                low = min(low, sum(impact[d].get(t, 0.0) for t in set(part.tolist())))
-    return Index(vocabulary, postings, blocks, bound, own, [i for i, _ in texts], slack * low if low < math.inf else math.inf, [triples(o) for o in own])
+    three = [triples(o) for o in own]
+    run = np.array([r for t in three for r in t], np.int64)
+    holder = np.repeat(np.arange(len(three)), [len(t) for t in three])
+    by = np.argsort(run, kind="stable")
+    return Index(vocabulary, postings, blocks, bound, own, [i for i, _ in texts], stats.threshold, three, run[by], holder[by])
 
 
-def triples(terms: np.ndarray) -> set[int]:
-    """Runs of three known words as numbers."""
+def _runs(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of three known words as numbers (hashed, as vocabularies have no bound), and where they begin."""
     a, b, c = terms[:-2], terms[1:-1], terms[2:]
-    ok = (a >= 0) & (b >= 0) & (c >= 0)
-    return set((((a << 21) | b) << 21 | c)[ok].tolist())
+    at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0)) if len(terms) > 2 else np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = a[at].astype(np.uint64)
+        for x in (b, c):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[at].astype(np.uint64)
+    return h.view(np.int64), at
+
+
+def triples(terms: np.ndarray) -> set[int]:
+    """Runs of three known words."""
+    return set(_runs(terms)[0].tolist())
 
 
 def block_max_wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -166,20 +217,40 @@ def overlap(doc: np.ndarray, item: np.ndarray, edit: float) -> float:
     return best
 
 
-def leaks(index: Index, text: str | None, window: int, step: int, score: float, edit: float) -> list[int]:
-    """Item ids whose wording the text holds: passages that retrieve an item, checked by alignment."""
-    terms = np.array([index.vocabulary.get(w, -1) for w in words(text)], np.int64)
-    if not len(terms):
+def leaks(index: Index, text: str | None, window: int, step: int, score: float, edit: float, runs: int = 4) -> list[int]:
+    """Item ids whose wording the text holds: passages that retrieve an item, checked by alignment.
+
+    ``score`` takes ``runs`` common runs of three words at the least. So only items that share as many with the
+    whole text are looked for, and only by windows near such runs: that loses nothing and spares most texts the search.
+    """
+    at = index.vocabulary
+    terms = np.array([at.get(w, -1) for w in words(text)], np.int64)
+    run, where = _runs(terms)
+    if len(run) < runs or not len(index.run):
+        return []
+    lo, hi = np.searchsorted(index.run, run, "left"), np.searchsorted(index.run, run, "right")
+    hit = hi > lo
+    if np.count_nonzero(hit) < runs:
+        return []
+    held = {(int(index.holder[k]), int(r)) for a, b, r in zip(lo[hit], hi[hit], run[hit], strict=True) for k in range(a, b)}
+    possible = {d for d, n in Counter(d for d, _ in held).items() if n >= runs}
+    if not possible:
         return []
     sums = np.concatenate([[0.0], np.cumsum(index.bound[terms])])  # bound[-1] is 0: words no item has
     starts = np.arange(0, max(len(terms) - window, 0) + step, step)
     starts = starts[starts < len(terms)]
     ends = np.minimum(starts + window, len(terms))
-    hot = np.flatnonzero(sums[ends] - sums[starts] >= index.threshold)
+    marks = np.zeros(len(terms) + 1, np.int64)
+    marks[where[hit] + 1] = 1
+    marks = np.cumsum(marks)
+    near = marks[np.minimum(ends + window, len(terms))] - marks[np.maximum(starts - window, 0)] >= runs
+    hot = np.flatnonzero(near & (sums[ends] - sums[starts] >= index.threshold))
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for j in hot:
         lo, hi = int(starts[j]), int(ends[j])
         for d, _ in block_max_wand(index, [t for t in set(terms[lo:hi].tolist()) if index.bound[t] > 0], index.threshold):
+            if d not in possible:
+                continue
             s = spans[d]
             if s and lo <= s[-1][1]:
                 s[-1] = (s[-1][0], hi)
@@ -189,7 +260,7 @@ def leaks(index: Index, text: str | None, window: int, step: int, score: float,
     for d, s in spans.items():
         for lo, hi in s:
             part = terms[max(0, lo - window) : hi + window]  # the passage may go on beyond the windows that retrieved it
-            if len(triples(part) & index.triples[d]) >= 4 and overlap(part, index.items[d], edit) >= score:
+            if len(triples(part) & index.triples[d]) >= runs and overlap(part, index.items[d], edit) >= score:
                 found.append(index.ids[d])
                 break
     return found
@@ -201,9 +272,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     Passages are windows of ``window`` words every ``step``; each retrieves all items above the index's
     threshold and an alignment of the passage with the item decides: equal words in order less ``edit`` per
     changed, added or missing word must reach ``score`` (that takes four common runs of three words at the
-    least, which is looked up before aligning). Whole texts are read, the corpus is only mapped
+    least, which is looked up before searching). Whole texts are read, the corpus is only mapped
     over (no shuffle) and the index is broadcast: it holds at most ``items_per_index`` items, more items make
-    more indexes and one pass each. Wording that ``shared`` items have in common (instructions) counts for
+    more indexes and one pass each, under the statistics of all items, so their number changes no result. Wording that ``shared`` items have in common (instructions) counts for
     none. Null and empty texts on either side give nothing; repeated rows give one.
     """
     spark = docs.sparkSession
@@ -212,11 +283,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     keys = items.schema[item_key].dataType.simpleString()
     doc_kind = docs.schema[doc_key].dataType.simpleString()
     rows = spread(docs.select(doc_key, doc_text))
+    named = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where("k IS NOT NULL AND t <> ''").distinct()
+    stats = gather(lambda: (r["t"] for r in named.select("t").toLocalIterator()), least, shared, shared_run, slack)
     out = None
     for p in range(parts):
-        chosen = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t"))
-        chosen = chosen.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == p) if parts > 1 else chosen
-        index = build(list({(r["k"], r["t"]) for r in chosen.collect() if r["k"] is not None and r["t"]}), least, shared, shared_run, slack, block)
+        chosen = named.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == p) if parts > 1 else named
+        index = build([(r["k"], r["t"]) for r in chosen.collect()], stats, shared_run, block)
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attune.functions.names import canonical_name
+from attune.operators.ordering import row_index
 from attune.storage import cut, maybe_broadcast
 
 
@@ -63,19 +64,35 @@ def ilsr(wins: np.ndarray, tol: float = 1e-10, rounds: int = 500) -> np.ndarray:
     return s
 
 
-def _distributed(edges: DataFrame, prior: float, tol: float, rounds: int) -> DataFrame:
-    """The same fixed point for more items than a driver should solve densely.
+def _reaches_all(edges: DataFrame, source: str, target: str, start: str, n: int) -> bool:
+    """Whether every one of ``n`` items can be reached from ``start``; one join a step, the front only."""
+    spark = edges.sparkSession
+    steps = edges.where("wins > 0").select(F.col(source).alias("item"), F.col(target).alias("next"))
+    seen = front = spark.createDataFrame([(start,)], "item STRING")
+    while True:
+        front = cut(steps.join(front, "item").select(F.col("next").alias("item")).distinct().join(seen, "item", "left_anti"))
+        if front.isEmpty():
+            return seen.count() == n
+        seen = cut(seen.unionByName(front))
 
-    One sweep over the balance equations per rebuild of the rates: strength = (flow in per unit of time)
-    / (rate out). Edges stay distributed, each round is two joins on items and one aggregation with partial
-    sums; strengths are cut from their lineage each round.
+
+def _distributed(edges: DataFrame, items: DataFrame, prior: float, tol: float, rounds: int) -> DataFrame:
+    """The same strengths for more items than a driver should solve densely, to the same tolerance.
+
+    Pairs stay distributed. Each round rebuilds the rates from the current strengths and makes one sweep over the
+    balance equations (inflow over outflow), which has the same fixed point as solving each chain and costs two
+    joins on items and one aggregation with partial sums. The virtual item has strength one, which its own balance
+    allows; it is there only if some item is not reached, as in the local form.
     """
-    both = edges.groupBy(F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).agg(
-        F.sum(F.when(F.col("winner") < F.col("loser"), F.col("wins")).otherwise(0.0)).alias("ab"),
-        F.sum(F.when(F.col("winner") > F.col("loser"), F.col("wins")).otherwise(0.0)).alias("ba"),
+    n, start = items.count(), items.agg(F.min("model")).first()[0]
+    tied = 0.0 if all(_reaches_all(edges, *way, start, n) for way in (("winner", "loser"), ("loser", "winner"))) else prior / 2
+    both = cut(
+        edges.groupBy(F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).agg(
+            F.sum(F.when(F.col("winner") < F.col("loser"), F.col("wins")).otherwise(0.0)).alias("ab"),
+            F.sum(F.when(F.col("winner") > F.col("loser"), F.col("wins")).otherwise(0.0)).alias("ba"),
+        )
     )
-    both = cut(both)
-    s = cut(both.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("s", F.lit(1.0)))
+    s = cut(items.select(F.col("model").alias("item"), F.lit(1.0).alias("s")))
     for _ in range(rounds):
         near = maybe_broadcast(s)
         known = both.join(near.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(near.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
@@ -85,32 +102,32 @@ def _distributed(edges: DataFrame, prior: float, tol: float, rounds: int) -> Dat
             F.struct(F.col("b").alias("item"), (F.col("ba") * F.col("sa") / t).alias("into"), (F.col("ab") / t).alias("out")),
         )
         flow = known.select(F.explode(rows).alias("x")).groupBy("x.item").agg(F.sum("x.into").alias("into"), F.sum("x.out").alias("out"))
-        p, own = F.lit(float(prior)), F.col("s") + 1.0  # ties with a virtual item of strength one
-        new = flow.join(s, "item").select("item", ((F.col("into") + p / own) / (F.col("out") + p / own)).alias("new"), F.col("s").alias("old"))
-        new = cut(new)
-        change = new.agg(F.max(F.abs(F.log("new") - F.log("old"))).alias("d")).first()["d"]
+        own = F.lit(tied) / (F.col("s") + 1.0)
+        new = cut(flow.join(s, "item").select("item", ((F.col("into") + own) / (F.col("out") + own)).alias("new"), F.col("s").alias("old")))
+        moved = new.select(F.log("new") - F.log("old")).toDF("d").agg(F.min("d"), F.max("d")).first()
         s = new.select("item", F.col("new").alias("s"))
-        if change is None or change < tol:
+        # without a virtual item only ratios are fixed
+        if (max(abs(moved[0]), abs(moved[1])) if tied else moved[1] - moved[0]) < tol:
             break
-    total = s.agg(F.sum("s").alias("t"))
-    return s.crossJoin(F.broadcast(total)).select(F.col("item").alias("model"), (F.col("s") / F.col("t")).alias("strength"))
+    total = s.agg(F.sum("s")).first()[0]
+    return s.select(F.col("item").alias("model"), (F.col("s") / total).alias("strength"))
 
 
 def global_ranking(df: DataFrame, left: str = "modela", right: str = "modelb", result: str = "result", max_local: int = 1_000, prior: float = 0.2, tol: float = 1e-10, rounds: int = 500) -> DataFrame:
     """Place, model, strength, comparisons and wins of every item that has a valid comparison.
 
-    Up to ``max_local`` items the aggregated pair table (at most that many squared rows, whatever the size
-    of the input) is solved on the driver to the exact maximum-likelihood strengths; beyond, the distributed
-    form is used. Where some items never lost or never won against the rest, no finite maximum exists: then
-    each item gets ``prior`` ties with a virtual item, which makes the strengths finite. The distributed
-    form always adds a ``prior`` of that kind. Equal strengths are placed by name. An empty input gives no row.
+    Strengths are the exact maximum-likelihood ones. Up to ``max_local`` items the aggregated pair table (at most
+    that many squared rows, whatever the size of the input) is solved on the driver, beyond by Spark, by the same
+    rules to the same tolerance. Where some items never lost or never won against the rest, no finite maximum
+    exists: then each item gets ``prior`` ties with a virtual item, which makes the strengths finite. Equal
+    strengths are placed by name. An empty input gives no row.
     """
     spark = df.sparkSession
     edges = cut(comparisons(df, left, right, result))
     played = edges.select(F.explode(F.array(F.struct(F.col("winner").alias("model"), F.col("wins").alias("w"), F.col("wins").alias("n")), F.struct(F.col("loser").alias("model"), F.lit(0.0).alias("w"), F.col("wins").alias("n")))).alias("x")).groupBy("x.model").agg(F.sum("x.n").alias("comparisons"), F.sum("x.w").alias("wins"))
     names = [r[0] for r in played.select("model").limit(max_local + 1).collect()]
     if len(names) > max_local:
-        strengths = _distributed(edges, prior, max(tol, 1e-6), rounds)
+        strengths = _distributed(edges, played.select("model"), prior, tol, rounds)
     else:
         names.sort()
         at = {m: i for i, m in enumerate(names)}
@@ -124,7 +141,5 @@ def global_ranking(df: DataFrame, left: str = "modela", right: str = "modelb", r
         s = s / s.sum() if len(s) else s
         strengths = spark.createDataFrame([(m, float(v)) for m, v in zip(names, s, strict=True)], "model STRING, strength DOUBLE")
     order: list[Column] = [F.desc("strength"), F.asc("model")]
-    from pyspark.sql import Window
-
-    placed = strengths.join(played, "model")
-    return placed.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "model", "strength", "comparisons", "wins")
+    placed = row_index(strengths.join(played, "model"), order, "place")
+    return placed.select((F.col("place") + 1).cast("int").alias("place"), "model", "strength", "comparisons", "wins")
