@@ -145,12 +145,12 @@ def agg_kappa_fleiss(spark, d):
     return agreement.fleiss(r.join(five, ["idx", "model"], "left_semi"), ["idx", "model"], "rank", 5)
 
 
-@query(f"""WITH {RANKINGS}, j AS (SELECT a.user_id AS a, b.user_id AS b, a.rank AS x, b.rank AS y FROM r a JOIN r b ON a.idx = b.idx AND a.model = b.model AND a.user_id < b.user_id WHERE a.user_id <= 3 AND b.user_id <= 6),
+@query(f"""WITH {RANKINGS}, j AS (SELECT a.user_id AS a, b.user_id AS b, a.rank AS x, b.rank AS y FROM r a JOIN r b ON a.idx = b.idx AND a.model = b.model AND a.user_id < b.user_id),
 n AS (SELECT a, b, count(*)::DOUBLE AS n, avg((x = y)::INT) AS po FROM j GROUP BY ALL), px AS (SELECT a, b, x AS v, count(*)::DOUBLE AS n FROM j GROUP BY ALL), py AS (SELECT a, b, y AS v, count(*)::DOUBLE AS n FROM j GROUP BY ALL),
 e AS (SELECT n.a, n.b, coalesce(sum(px.n * py.n), 0) / max(n.n * n.n) AS pe FROM n LEFT JOIN px ON n.a = px.a AND n.b = px.b LEFT JOIN py ON px.a = py.a AND px.b = py.b AND px.v = py.v GROUP BY ALL)
 SELECT n.a, n.b, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS kappa FROM n JOIN e ON n.a = e.a AND n.b = e.b""")
 def agg_kappa_cohen(spark, d):
-    """Cohen's kappa of every pair of annotators over the subjects they share; the SQL covers annotators 1 to 3 with those up to 6."""
+    """Cohen's kappa of every pair of annotators over the subjects they share."""
     return agreement.cohen(rankings(spark, d), ["idx", "model"], "user_id", "rank")
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set (tests, a laptop)."""
+    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    Only a session on one machine (``local[...]``) may leave it unset and then gets a folder of its own; a cluster
+    without the setting is an error.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attune-checkpoint-"))
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = f"{spark._jvm.System.getProperty('java.io.tmpdir')}/attune-{sc.applicationId}"
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

@@ -274,7 +274,7 @@ def test_kappa_and_information(spark):
 
 
 def test_kappa_of_all_annotators(spark, small):
-    """Every pair by brute force; the SQL's annotators within it equal the SQL."""
+    """Every pair by brute force."""
     rated = {}
     for r in base.rankings(spark, small).collect():
         rated.setdefault(r["user_id"], {}).setdefault((r["idx"], r["model"]), set()).add(r["rank"])
@@ -291,16 +291,12 @@ def test_kappa_of_all_annotators(spark, small):
     got = {(r["a"], r["b"]): r["kappa"] for r in catalog.QUERIES["agg_kappa_cohen"](spark, small).collect()}
     assert got.keys() == want.keys() and any(a > 3 or b > 6 for a, b in got)
     assert all(got[k] == (None if w is None else pytest.approx(w)) for k, w in want.items())
-    inside = sorted((a, b, plain(k)) for (a, b), k in got.items() if a <= 3 and b <= 6)
-    assert inside == sorted(rows_of_sql(connect(small), catalog.ORACLES["agg_kappa_cohen"])[1])
 
 
 def test_composite_keys_of_all_lines(spark, small):
     got = {r["k"]: r["n"] for r in catalog.QUERIES["jn_composite_key"](spark, small).collect()}
     want = Counter(f"{r[0]}\t{r[1]}" for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect())
     assert got == want
-    inside = sorted((k, n) for k, n in got.items() if int(k.split("\t")[1]) <= 2)
-    assert inside == sorted(rows_of_sql(connect(small), catalog.ORACLES["jn_composite_key"])[1])
 
 
 def python_sentences(t):
@@ -328,7 +324,7 @@ def test_text_functions_of_every_script_equal_python(spark):
 
 @pytest.mark.parametrize("name", ["txt_word_tokens", "txt_irrelevant_word", "txt_random_case", "txt_sent_tokenize", "txt_chain_normalise", "udf_batch_model"])
 def test_texts_of_every_script(spark, small, name):
-    """All rows by brute force; the SQL's rows within them equal the SQL."""
+    """All rows by brute force."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect() if r["text"] is not None}
     gens = {r["gen_id"]: r["result"] for r in base.generations(spark, small).collect() if r["result"] is not None}
     steps = lambda t: [s for s in (re.sub(r"[. ]+$", "", s.replace("\t", " ")) for s in python_sentences(t)) if s]
@@ -346,11 +342,6 @@ def test_texts_of_every_script(spark, small, name):
     values = [c for c in df.columns if c != key]
     got = {r[key]: tuple(r[c] for c in values) for r in df.collect()}
     assert got == want
-    columns, rows = rows_of_sql(connect(small), catalog.ORACLES[name])
-    assert 0 < len(rows) < len(got)
-    for r in rows:
-        r = dict(zip(columns, r, strict=True))
-        assert got[r[key]] == tuple(r[c] for c in values)
 
 
 def test_variants_of_words_of_any_length(spark, small, tmp_path):
@@ -359,8 +350,6 @@ def test_variants_of_words_of_any_length(spark, small, tmp_path):
     words = {r["word"].lower() for r in spark.read.parquet(f"{small}/profanity_wordlist.parquet").collect() if r["word"]}
     got = [tuple(r) for r in catalog.QUERIES["txt_variants"](spark, small).select("word", "variant").collect()]
     assert len(got) == len(set(got)) and set(got) == set().union(*map(spell, words))
-    columns, rows = rows_of_sql(connect(small), catalog.ORACLES["txt_variants"])
-    assert columns == ["variant", "word"] and {(w, v) for v, w in rows} == {x for x in got if len(x[0]) <= 5}
     spark.createDataFrame([("Aioaioab",), ("",), (None,)], "word STRING").write.parquet(f"{tmp_path}/profanity_wordlist.parquet")
     many = [tuple(r) for r in catalog.QUERIES["txt_variants"](spark, str(tmp_path)).where("word <> ''").select("word", "variant").collect()]
     assert len(many) == 4**7 and set(many) == spell("aioaioab")
