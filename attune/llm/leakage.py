@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,6 +46,7 @@ class Index:
     triples: list[set[int]]  # per item: its own runs of three words
     run: np.ndarray  # all of those runs, ascending
     holder: np.ndarray  # the item each belongs to
+    own: list[np.ndarray]  # per item: its own words, ascending
 
 
 @dataclass
@@ -132,7 +134,7 @@ def build(rows: list[tuple[int, str | None]], stats: Statistics, shared_run: int
     run = np.array([r for t in three for r in t], np.int64)
     holder = np.repeat(np.arange(len(three)), [len(t) for t in three])
     by = np.argsort(run, kind="stable")
-    return Index(vocabulary, postings, blocks, bound, own, [i for i, _ in texts], stats.threshold, three, run[by], holder[by])
+    return Index(vocabulary, postings, blocks, bound, own, [i for i, _ in texts], stats.threshold, three, run[by], holder[by], [np.unique(o[o >= 0]) for o in own])
 
 
 def _runs(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +219,35 @@ def overlap(doc: np.ndarray, item: np.ndarray, edit: float) -> float:
     return best
 
 
+def narrow(index: Index, among: list[int], terms: Iterable[int]) -> Index:
+    """The lists of ``terms`` cut down to a few items; a block each, as they are short."""
+    postings, blocks, bound = {}, {}, {}
+    for t in terms:
+        docs, score = index.postings[t]
+        at = [k for d in among if (k := bisect.bisect_left(docs, d)) < len(docs) and docs[k] == d]
+        if at:
+            postings[t] = [docs[k] for k in at], [score[k] for k in at]
+            bound[t] = max(postings[t][1])
+            blocks[t] = [docs[at[-1]]], [bound[t]]
+    return replace(index, postings=postings, blocks=blocks, bound=bound)
+
+
+def at_most(doc: np.ndarray, item: np.ndarray, edit: float) -> float:
+    """Bound on ``overlap``: in the aligned range a word that the item has gains one at the most, any other costs an edit.
+
+    ``item`` holds the item's words in ascending order.
+    """
+    place = np.minimum(np.searchsorted(item, doc), len(item) - 1)
+    total = np.cumsum(np.where(item[place] == doc, 1.0, -edit))
+    return float((total - np.minimum.accumulate(np.append(0.0, total[:-1]))).max())
+
+
 def leaks(index: Index, text: str | None, window: int, step: int, score: float, edit: float, runs: int = 4) -> list[int]:
     """Item ids whose wording the text holds: passages that retrieve an item, checked by alignment.
 
-    ``score`` takes ``runs`` common runs of three words at the least. So only items that share as many with the
-    whole text are looked for, and only by windows near such runs: that loses nothing and spares most texts the search.
+    An item is accepted with ``runs`` common runs of three words and ``score``. So only items that share as many
+    runs with the whole text and whose bound on the score is high enough are looked for, and only by windows near
+    such runs: that loses nothing and spares most texts the search.
     """
     at = index.vocabulary
     terms = np.array([at.get(w, -1) for w in words(text)], np.int64)
@@ -233,7 +259,7 @@ def leaks(index: Index, text: str | None, window: int, step: int, score: float,
     if np.count_nonzero(hit) < runs:
         return []
     held = {(int(index.holder[k]), int(r)) for a, b, r in zip(lo[hit], hi[hit], run[hit], strict=True) for k in range(a, b)}
-    possible = {d for d, n in Counter(d for d, _ in held).items() if n >= runs}
+    possible = {d for d, n in Counter(d for d, _ in held).items() if n >= runs and at_most(terms, index.own[d], edit) >= score}
     if not possible:
         return []
     sums = np.concatenate([[0.0], np.cumsum(index.bound[terms])])  # bound[-1] is 0: words no item has
@@ -246,11 +272,10 @@ def leaks(index: Index, text: str | None, window: int, step: int, score: float,
     near = marks[np.minimum(ends + window, len(terms))] - marks[np.maximum(starts - window, 0)] >= runs
     hot = np.flatnonzero(near & (sums[ends] - sums[starts] >= index.threshold))
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    few = narrow(index, sorted(possible), {t for t in terms.tolist() if t >= 0}) if len(hot) else index
     for j in hot:
         lo, hi = int(starts[j]), int(ends[j])
-        for d, _ in block_max_wand(index, [t for t in set(terms[lo:hi].tolist()) if index.bound[t] > 0], index.threshold):
-            if d not in possible:
-                continue
+        for d, _ in block_max_wand(few, [t for t in set(terms[lo:hi].tolist()) if t in few.bound], index.threshold):
             s = spans[d]
             if s and lo <= s[-1][1]:
                 s[-1] = (s[-1][0], hi)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -24,16 +23,10 @@ _LATIN = re.compile("[A-Za-z]")
 _LOOK = str.maketrans(LOOKALIKE)
 
 
-@functools.cache
-def _invisible() -> str:
-    """All format characters (category Cf), which readers do not see, as a character class."""
-    return "".join(chr(c) for c in range(0xA0, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
-
-
 @functools.lru_cache(maxsize=1 << 14)
 def seen(ch: str) -> str:
     """One character as it reads: compatibility forms resolved, invisible ones gone, blanks as a blank."""
-    if ch in _invisible():
+    if ch > "\x9f" and unicodedata.category(ch) == "Cf":  # format characters, which readers do not see
         return ""
     flat = unicodedata.normalize("NFKC", ch)
     if flat.isspace() and ch not in "\n\r\t":
