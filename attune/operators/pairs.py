@@ -55,61 +55,84 @@ def majority(votes: DataFrame, item: list[str], vote: str) -> DataFrame:
 
 
 def elo(battles: DataFrame, group: list[str], order: list[str], k: float = 4.0, scale: float = 400.0, base: float = 10.0, start: float = 1000.0) -> DataFrame:
-    """Ratings after folding each group's battles in order: group, model, rating.
+    """Ratings after folding each group's battles in order: group, model, rating. No group gives one history.
 
-    The fold is sequential by definition, so its unit of parallelism is the group (a period, a language, an
-    item): choose groups that are bounded; one group's battles are held in one row.
+    The fold is sequential by definition: a group is one task. It is sorted there by Spark (spilling to disk) and
+    streams through in Arrow batches; only the ratings of the group at hand are carried along, so a group of
+    any length fits. Equal places in ``order`` go by names and result.
     """
-    seq = battles.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, "a", "b", "result"))).alias("s"))
+    cols = [*group, "a", "b", "result"]
+    kinds = "".join(f"`{g}` {battles.schema[g].dataType.simpleString()}, " for g in group)
+    rows = battles.repartition(*group) if group else battles.coalesce(1)
+    rows = rows.sortWithinPartitions(*group, *order, "a", "b", "result").select(*cols)
 
-    def step(m: Column, x: Column) -> Column:
-        ra, rb = (F.coalesce(F.element_at(m, x[s]), F.lit(start)) for s in "ab")
-        ea = 1.0 / (1.0 + F.pow(F.lit(base), (rb - ra) / F.lit(scale)))
-        sa = F.when(x["result"] == 1, 1.0).when(x["result"] == 2, 0.0).otherwise(0.5)
-        new = F.map_from_arrays(F.array(x["a"], x["b"]), F.array(ra + F.lit(k) * (sa - ea), rb + F.lit(k) * (1.0 - sa - (1.0 - ea))))
-        kept = F.map_filter(m, lambda key, _: (key != x["a"]) & (key != x["b"]))
-        return F.map_concat(kept, new)
+    def run(batches):
+        import pyarrow as pa
 
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    return seq.select(*group, F.explode(F.aggregate("s", empty, step)).alias("model", "rating"))
+        n = len(group)
+        schema = None
+        now, r = None, {}
 
+        def finish():
+            return pa.RecordBatch.from_arrays([*(pa.array([v] * len(r), t) for v, t in zip(now, schema, strict=True)), pa.array(list(r), pa.string()), pa.array(list(r.values()), pa.float64())], names=[*group, "model", "rating"])
 
-def elo_bootstrap(battles: DataFrame, rounds: int, seed: int = 42, k: float = 4.0, max_battles: int = 2_000_000) -> DataFrame:
+        for batch in batches:
+            schema = [batch.schema.field(i).type for i in range(n)]
+            for *key, a, b, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if r:
+                        yield finish()
+                    now, r = key, {}
+                x, y = r.get(a, start), r.get(b, start)
+                e = 1.0 / (1.0 + base ** ((y - x) / scale))
+                s = 1.0 if z == 1 else 0.0 if z == 2 else 0.5
+                r[a], r[b] = x + k * (s - e), y + k * (e - s)
+        if r:
+            yield finish()
+
+    return rows.mapInArrow(run, f"{kinds}model STRING, rating DOUBLE")
+
+
+def elo_bootstrap(battles: DataFrame, rounds: int = 1_000, seed: int = 42, k: float = 4.0, together: int = 25) -> DataFrame:
     """Median and 2.5 / 97.5 % quantiles of Elo ratings over resamples with replacement.
 
-    Rounds run in parallel; each folds one resample of the battles, which are broadcast as small integers.
-    More than ``max_battles`` do not fit that way: fold by period instead (an error says so).
+    A battle is told apart only by its models and result, so drawing battles with replacement is drawing from the
+    counts of (a, b, result): that table, as small as the models are few, is all that travels, whatever the
+    number of battles. ``together`` rounds run in one task, each step for all of them at once.
     """
     import numpy as np
 
     spark = battles.sparkSession
-    rows = battles.select("a", "b", "result").limit(max_battles + 1).collect()
-    if len(rows) > max_battles:
-        raise ValueError(f"more than {max_battles} battles: use elo() by period")
-    rows.sort()
-    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
+    kinds = sorted((r["a"], r["b"], r["result"], r["n"]) for r in battles.groupBy("a", "b", "result").agg(F.count("*").alias("n")).collect())
+    names = sorted({x for a, b, _, _ in kinds for x in (a, b)})
     at = {m: i for i, m in enumerate(names)}
-    data = spark.sparkContext.broadcast((names, np.array([(at[r["a"]], at[r["b"]], r["result"]) for r in rows], np.int32).reshape(-1, 3)))
+    left, right = (np.array([at[x[i]] for x in kinds], np.int64) for i in (0, 1))
+    won = np.array([1.0 if x[2] == 1 else 0.0 if x[2] == 2 else 0.5 for x in kinds])
+    upto = np.cumsum([x[3] for x in kinds], dtype=np.int64) if kinds else np.zeros(1, np.int64)
+    data = spark.sparkContext.broadcast((names, left, right, won, upto))
 
     def run(batches):
         import pandas as pd
 
-        labels, b = data.value
+        labels, a, b, w, ends = data.value
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                r = [1000.0] * len(labels)
-                for x, y, z in b[rng.integers(0, len(b), len(b))].tolist() if len(b) else []:
-                    e = 1 / (1 + 10 ** ((r[y] - r[x]) / 400))
-                    s = 1.0 if z == 1 else 0.0 if z == 2 else 0.5
-                    r[x] += k * (s - e)
-                    r[y] -= k * (s - e)
-                out += zip([i] * len(labels), labels, r, strict=True)
-            yield pd.DataFrame(out, columns=["round", "model", "rating"])
-
-    parts = min(rounds, 4 * spark.sparkContext.defaultParallelism)
-    each = spark.range(0, rounds, 1, parts).mapInPandas(run, "round BIGINT, model STRING, rating DOUBLE")
+            for block in batch["id"]:
+                n = min(together, rounds - block * together)
+                rng = np.random.default_rng([seed, int(block)])
+                r = np.full((n, len(labels)), 1000.0)
+                row = np.arange(n)
+                for begin in range(0, int(ends[-1]), 4_096):
+                    drawn = np.searchsorted(ends, rng.integers(0, ends[-1], (min(4_096, int(ends[-1]) - begin), n)), "right")
+                    for t in drawn:
+                        i, j = a[t], b[t]
+                        x, y = r[row, i], r[row, j]
+                        d = k * (w[t] - 1 / (1 + 10 ** ((y - x) / 400)))
+                        r[row, i] = x + d
+                        r[row, j] = y - d
+                yield pd.DataFrame({"round": np.repeat(block * together + row, len(labels)), "model": labels * n, "rating": r.ravel()})
+
+    blocks = -(-rounds // together)
+    each = spark.range(0, blocks, 1, blocks).mapInPandas(run, "round BIGINT, model STRING, rating DOUBLE")
     q = lambda p: F.percentile("rating", F.lit(p))
     return each.groupBy("model").agg(F.floor(q(0.5) + 0.5).alias("median"), q(0.025).alias("lower"), q(0.975).alias("upper"))
 

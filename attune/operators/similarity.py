@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,21 +113,42 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def overlap(df: DataFrame, key: list[str], a: str, b: str, n: int) -> DataFrame:
-    """Clipped n-gram overlap of two texts per row: key, na, nb, both.
+def overlaps(a: Column, b: Column, order: int) -> Column:
+    """Clipped n-gram overlap of two texts for n = 1 to ``order``: an array of [n-grams of a, of b, in both].
 
-    N-grams are counted per row and side in one aggregation over (key, n-gram).
+    Counted inside the row, in Arrow batches, so no n-gram is ever shuffled. Null texts have no n-grams.
     """
-    one = lambda c, x, y: df.select(*key, F.explode(ngrams(tokens(F.col(c)), n)).alias("_g"), F.lit(x).alias("_x"), F.lit(y).alias("_y"))
-    counts = one(a, 1, 0).unionByName(one(b, 0, 1)).groupBy(*key, "_g").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
-    return counts.groupBy(*key).agg(F.sum("_x").alias("na"), F.sum("_y").alias("nb"), F.sum(F.least("_x", "_y")).alias("both"))
+
+    @F.pandas_udf("array<array<bigint>>")
+    def count(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = (() if w is None else list(w) for w in (p, q))
+            row = []
+            for n in range(1, order + 1):
+                g, h = (Counter(zip(*(w[i:] for i in range(n)), strict=False)) for w in (p, q))
+                row.append([g.total(), h.total(), (g & h).total()])
+            out.append(row)
+        return pd.Series(out)
+
+    return count(tokens(a), tokens(b))
+
+
+def rouge(df: DataFrame, key: list[str], reference: str, candidate: str, orders: tuple[int, ...]) -> DataFrame:
+    """ROUGE-n F measures as rouge1, rouge2, ... of every row in which either text has a word; 0 without overlap."""
+    o = df.select(*key, overlaps(F.col(reference), F.col(candidate), max(orders)).alias("_o")).where("_o[0][0] + _o[0][1] > 0")
+
+    def f(n: int) -> Column:
+        both = F.col("_o")[n - 1][2]
+        r, p = both / F.col("_o")[n - 1][0], both / F.col("_o")[n - 1][1]
+        return F.when(both > 0, 2 * r * p / (r + p)).otherwise(0.0).alias(f"rouge{n}")
+
+    return o.select(*key, *map(f, orders))
 
 
 def rouge_n(df: DataFrame, key: list[str], reference: str, candidate: str, n: int) -> DataFrame:
     """ROUGE-n F measure; 0 without overlap."""
-    o = overlap(df, key, reference, candidate, n)
-    r, p = F.col("both") / F.col("na"), F.col("both") / F.col("nb")
-    return o.select(*key, F.when(F.col("both") > 0, 2 * r * p / (r + p)).otherwise(0.0).alias(f"rouge{n}"))
+    return rouge(df, key, reference, candidate, (n,))
 
 
 def rouge_l(reference: Column, candidate: Column) -> Column:
@@ -162,20 +185,17 @@ def rouge_l(reference: Column, candidate: Column) -> Column:
 def bleu(df: DataFrame, key: list[str], reference: str, candidate: str, order: int = 4, eps: float = 0.1) -> DataFrame:
     """Sentence BLEU with the counts of empty matches smoothed to ``eps``; 0 for empty candidates.
 
-    Orders for which the candidate has no n-gram are left out of the mean.
+    Orders for which the candidate has no n-gram are left out of the mean. Row-local, no shuffle.
     """
-    size = lambda c: F.size(tokens(F.col(c)))
-    out = df.select(*key, size(reference).alias("_r"), size(candidate).alias("_c"))
-    for n in range(1, order + 1):
-        o = overlap(df, key, reference, candidate, n).select(*key, F.col("nb").alias(f"_n{n}"), F.col("both").alias(f"_b{n}"))
-        out = out.join(o, key, "left")
+    out = df.select(*key, overlaps(F.col(reference), F.col(candidate), order).alias("_o"))
     logs, used = F.lit(0.0), F.lit(0.0)
-    for n in range(1, order + 1):
-        m, b = F.coalesce(F.col(f"_n{n}"), F.lit(0)), F.coalesce(F.col(f"_b{n}"), F.lit(0))
+    for n in range(order):
+        m, b = F.col("_o")[n][1], F.col("_o")[n][2]
         logs = logs + F.when(m > 0, F.log(F.when(b > 0, b.cast("double")).otherwise(eps) / m)).otherwise(0.0)
         used = used + F.when(m > 0, 1.0).otherwise(0.0)
-    penalty = F.when(F.col("_c") >= F.col("_r"), 1.0).otherwise(F.exp(1 - F.col("_r") / F.col("_c")))
-    return out.select(*key, F.when((F.col("_c") > 0) & (F.coalesce(F.col("_b1"), F.lit(0)) > 0), penalty * F.exp(logs / used)).otherwise(0.0).alias("bleu"))
+    r, c = F.col("_o")[0][0], F.col("_o")[0][1]
+    penalty = F.when(c >= r, 1.0).otherwise(F.exp(1 - r / c))
+    return out.select(*key, F.when(F.col("_o")[0][2] > 0, penalty * F.exp(logs / used)).otherwise(0.0).alias("bleu"))
 
 
 def self_bleu(df: DataFrame, group: list[str], key: str, text: str, order: int = 2, eps: float = 0.1) -> DataFrame:

@@ -76,10 +76,14 @@ def somers_d(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
 
 
 def permutation_p(df: DataFrame, group: list[str], x: str, y: str, rounds: int = 5_000, seed: int = 42, max_rows: int = 100_000) -> DataFrame:
-    """Two-sided p of Pearson's r per group by seeded permutations; groups are items with bounded rows.
+    """Two-sided p of Pearson's r per group by seeded permutations, or by all of them where there are no more than ``rounds``.
 
+    Groups are items with bounded rows.
     A group of more than ``max_rows`` rows fails the job rather than a worker's memory.
     """
+    import itertools
+    import math
+
     import numpy as np
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -91,6 +95,10 @@ def permutation_p(df: DataFrame, group: list[str], x: str, y: str, rounds: int =
             return head.assign(r=np.nan, p=np.nan)
         a, b = (a - a.mean()) / a.std(), (b - b.mean()) / b.std()
         r = float(a @ b / len(a))
+        if math.factorial(min(len(a), 20)) <= rounds:
+            # few enough orders to take every one
+            every = np.array(list(itertools.permutations(b)))
+            return head.assign(r=r, p=float((np.abs(every @ a / len(a)) >= abs(r) - 1e-12).mean()))
         rng = np.random.default_rng(seed)
         hits, left = 0, rounds
         while left:

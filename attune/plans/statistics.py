@@ -33,7 +33,7 @@ def st_pearson_p(spark, d):
 def st_permutation_p(spark, d):
     """Seeded permutation test per supplier nation."""
     s = table(spark, d, "supplier").select("s_nationkey", "s_acctbal", F.col("s_suppkey").cast("double").alias("k"))
-    return stats.permutation_p(s, ["s_nationkey"], "s_acctbal", "k", rounds=1_000)
+    return stats.permutation_p(s, ["s_nationkey"], "s_acctbal", "k", rounds=5_000)
 
 
 @query("WITH c AS (SELECT l_suppkey, l_suppkey % 7 AS g, corr(l_quantity, l_tax) AS r FROM lineitem GROUP BY ALL) SELECT g, tanh(coalesce(avg(CASE WHEN abs(r) < 1 THEN atanh(r) END), 0)) AS mean_r FROM c GROUP BY 1")

@@ -46,15 +46,17 @@ def stm_sliding(spark, d):
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stm_session(spark, d):
-    """Sessions that end after an hour without an event (batch form; the stream form is in the tests)."""
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.sessions(e, "ts", "user_id", "1 hour", "2 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """Sessions that end after an hour without an event, kept up to date by a stream."""
+    s = jobs.sessions(_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "1 hour", "60 days")
+    done = jobs.final(jobs.run_to_table(s, "sessions", "complete"))
+    return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 3 HOUR")
+@query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 90 SECOND")
 def stm_heartbeat(spark, d):
-    """Users without an event for three hours before the end."""
-    return jobs.stale(table(spark, d, "events"), "user_id", "ts", 3 * 3600)
+    """Users without an event for 90 s before the end, from a stream that keeps the last event of each."""
+    last = jobs.newest(jobs.run_to_table(jobs.last_seen(_events(spark, d), "user_id", "ts"), "heartbeat", "update"), ["user_id"])
+    return jobs.stale(last, "user_id", 90)
 
 
 @query()

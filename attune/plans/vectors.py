@@ -40,8 +40,7 @@ def sim_cosine_pairs(spark, d):
 @query(f"WITH {_PAIR}, {_grams(1)}, {_grams(2)}, f AS (SELECT o1.gen_id, CASE WHEN o1.both > 0 THEN 2 * (o1.both / o1.na) * (o1.both / o1.nb) / (o1.both / o1.na + o1.both / o1.nb) ELSE 0 END AS rouge1, CASE WHEN o2.both > 0 THEN 2 * (o2.both / o2.na) * (o2.both / o2.nb) / (o2.both / o2.na + o2.both / o2.nb) ELSE 0 END AS rouge2 FROM o1 LEFT JOIN o2 USING (gen_id)) SELECT gen_id, rouge1, rouge2 FROM f")
 def sim_rouge(spark, d):
     t = _texts(spark, d)
-    one = lambda n: similarity.rouge_n(t, ["gen_id"], "ref", "cand", n)
-    return one(1).join(one(2), "gen_id", "left").select("gen_id", "rouge1", F.coalesce("rouge2", F.lit(0.0)).alias("rouge2"))
+    return similarity.rouge(t, ["gen_id"], "ref", "cand", (1, 2))
 
 
 @query()

@@ -41,9 +41,13 @@ def first_by_id(df: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if df.isStreaming else df.dropDuplicates([key])
 
 
-def stale(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Keys whose last heartbeat is older than ``seconds`` before the newest of all (batch view)."""
-    last = df.groupBy(key).agg(F.max(ts).alias("last"))
+def last_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """The last heartbeat of every key so far (update mode)."""
+    return df.groupBy(key).agg(F.max(ts).alias("last"))
+
+
+def stale(last: DataFrame, key: str, seconds: int) -> DataFrame:
+    """Keys whose last heartbeat (key, last) is more than ``seconds`` before the newest of all."""
     return last.join(F.broadcast(last.agg(F.max("last").alias("now")))).where(F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) > seconds * 1_000_000).select(key, "last")
 
 
@@ -118,6 +122,12 @@ def _with_batch(stream: DataFrame):
     return T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
 
 
+def final(done: DataFrame) -> DataFrame:
+    """The output of the last batch of a complete-mode run."""
+    top = done.agg(F.max("_batch").alias("_top"))
+    return done.join(F.broadcast(top), F.col("_batch") == F.col("_top"), "left_semi").drop("_batch")
+
+
 def newest(done: DataFrame, keys: list[str]) -> DataFrame:
     """The last output per key of an update-mode run."""
     cols = [c for c in done.columns if c not in keys and c != "_batch"]

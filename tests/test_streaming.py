@@ -72,5 +72,5 @@ def test_heartbeat_stream_reports_a_silent_worker(spark, tmp_path):
     write(spark, path, [("b", T0 + dt.timedelta(minutes=31))], schema, 2)
     got = jobs.run_to_table(jobs.heartbeats(source(spark, path, schema), "w", "ts", 90, "10 seconds"), "h", "append", run)
     assert "a" in {r["w"] for r in got.collect()}
-    stale = jobs.stale(spark.createDataFrame([("a", T0), ("b", T0 + dt.timedelta(minutes=5))], schema), "w", "ts", 90)
+    stale = jobs.stale(jobs.last_seen(spark.createDataFrame([("a", T0), ("b", T0 + dt.timedelta(minutes=5))], schema), "w", "ts"), "w", 90)
     assert [r["w"] for r in stale.collect()] == ["a"]
