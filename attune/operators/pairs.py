@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attune.storage import maybe_broadcast
+
 
 def self_pairs(df: DataFrame, item: str, label: str, values: list[str]) -> DataFrame:
     """All unordered pairs of labels per item, ``values`` once per side with suffix _a and _b."""
@@ -143,8 +145,8 @@ def debias(forward: Column, backward: Column) -> Column:
 
 
 def ordered_pairs(weights: DataFrame, model: str, weight: str) -> DataFrame:
-    """Ordered pairs of different models with the share of their weight product; models are few."""
+    """Ordered pairs of different models with the share of their weight product."""
     a = weights.select(F.col(model).alias("a"), F.col(weight).alias("wa"))
-    b = F.broadcast(weights.select(F.col(model).alias("b"), F.col(weight).alias("wb")))
+    b = maybe_broadcast(weights.select(F.col(model).alias("b"), F.col(weight).alias("wb")))
     p = a.join(b, F.col("a") != F.col("b")).withColumn("p", F.col("wa") * F.col("wb"))
     return p.select("a", "b", (F.col("p") / F.sum("p").over(Window.partitionBy())).alias("share"))

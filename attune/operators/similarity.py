@@ -43,6 +43,18 @@ def mean_pool(tokens: Column, mask: Column, dim: int) -> Column:
     return F.when((F.size(kept) > 0) & (n > 0), F.transform(total, lambda x: x / n))
 
 
+def bertscore(candidate: Column, reference: Column) -> Column:
+    """Greedy token matching on given token vectors: struct of precision, recall and f1; null without tokens.
+
+    Each token takes its best match on the other side; a model supplies the vectors. Row-local.
+    """
+    side = lambda xs, ys: F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: cosine(x, y))))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
+    some = (F.size(candidate) > 0) & (F.size(reference) > 0)
+    p, r = F.when(some, mean(side(candidate, reference))), F.when(some, mean(side(reference, candidate)))
+    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r != 0, 2 * p * r / (p + r)).alias("f1"))
+
+
 def pairwise_summary(df: DataFrame, group: str, key: str, vector: str, block: int = 2_000) -> DataFrame:
     """Mean, population deviation, least and largest cosine over all pairs inside each group.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attune.operators import agreement, summaries
-from attune.plans.base import CORPUS, GENERATIONS, RANKINGS, corpus, generations, rankings
+from attune.plans.base import BATTLES, CORPUS, GENERATIONS, RANKINGS, battles, corpus, generations, rankings
 from attune.plans.registry import query, table
 
 
@@ -127,10 +127,10 @@ def agg_quality_accuracy(spark, d):
     return _p(spark, d).groupBy("y").agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"), F.avg(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))).alias("confidence"))
 
 
-@query(f"WITH {RANKINGS} SELECT idx FROM r GROUP BY idx HAVING sum((rank <= 1)::INT) = 0")
+@query(f"WITH {BATTLES} SELECT idx FROM b GROUP BY idx HAVING count(*) FILTER (result <> 0) = 0")
 def agg_all_models_wrong(spark, d):
-    """Items that no voter got right (here: without any first place)."""
-    return rankings(spark, d).groupBy("idx").agg(F.sum((F.col("rank") <= 1).cast("int")).alias("n")).where("n = 0").select("idx")
+    """Items that no system got right (here: none won any of its comparisons)."""
+    return battles(spark, d).groupBy("idx").agg(F.max("result").alias("n")).where("n = 0").select("idx")
 
 
 _FLEISS = f"""WITH {RANKINGS}, u AS (SELECT idx, model, count(*)::DOUBLE AS n FROM r GROUP BY ALL HAVING count(*) = 5), k AS (SELECT idx, model, rank, count(*)::DOUBLE AS c FROM r JOIN u USING (idx, model) GROUP BY ALL)

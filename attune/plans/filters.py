@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attune.operators import sampling, sets
+from attune.operators.ordering import row_index
 from attune.plans.base import CORPUS, GENERATIONS, battles, BATTLES, corpus, generations
 from attune.plans.registry import query, table
 
@@ -128,7 +129,8 @@ def srt_custom_order(spark, d):
 @query("SELECT n_name, row_number() OVER (ORDER BY coalesce(CASE n_nationkey WHEN 3 THEN '0first' WHEN 7 THEN '1second' END, n_name)) AS place FROM nation")
 def srt_priority(spark, d):
     priority = F.when(F.col("n_nationkey") == 3, "0first").when(F.col("n_nationkey") == 7, "1second")
-    return table(spark, d, "nation").select("n_name", F.row_number().over(Window.orderBy(F.coalesce(priority, "n_name"))).cast("long").alias("place"))
+    named = table(spark, d, "nation").select("n_name", F.coalesce(priority, "n_name").alias("by"))
+    return row_index(named, [F.col("by")], "place").select("n_name", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT source, sentence AS text FROM combined_corpus UNION ALL SELECT source, text FROM documents")

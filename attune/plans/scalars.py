@@ -320,12 +320,14 @@ def snk_json_records(spark, d):
     return _round_trip(spark, doc, sinks.write_text, lambda p: readers.read_json_array(spark, p, n.schema))
 
 
-@query("SELECT 3 AS lines, '| n_name | n_regionkey |' AS head")
+@query("""SELECT * FROM (VALUES (0, '| n_nationkey | n_name | n_regionkey |'), (1, '|---|---|---|')) h(line, text)
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY n_nationkey), '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' FROM nation""")
 def snk_markdown(spark, d):
+    """A report as a Markdown table, line by line."""
     from attune.sources.sinks import markdown
 
-    text = markdown(table(spark, d, "nation").where("n_nationkey = 0").select("n_name", "n_regionkey"))
-    return spark.createDataFrame([(len(text.split("\n")), text.split("\n")[0])], "lines INT, head STRING")
+    text = markdown(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey"))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line BIGINT, text STRING")
 
 
 @query("SELECT 'rewrite' AS name, 'Rewrite.' || chr(10) || 'Keep the meaning.' AS template")

@@ -295,10 +295,11 @@ def txt_leaked_identity(spark, d):
     return _docs(spark, d).select("doc_id", F.coalesce(X.leaks_identity(_t(), ["lumen", "language model", "plumb-r1"]), F.lit(False)).alias("leaked"))
 
 
-@query(r"""SELECT column_name, CASE WHEN regexp_matches(column_name, '^l_(quantity|extendedprice)') THEN 'amount' WHEN regexp_matches(column_name, 'key$') THEN 'key' ELSE 'other' END AS kind FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_orderkey'), ('l_tax')) t(column_name)""")
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^(STANDARD|SMALL)') THEN 'plain' WHEN regexp_matches(p_name, 'ing$') THEN 'ring' ELSE 'other' END AS kind FROM part")
 def txt_title_rules(spark, d):
-    c = spark.createDataFrame([("l_quantity",), ("l_extendedprice",), ("l_orderkey",), ("l_tax",)], "column_name STRING")
-    return c.select("column_name", F.when(F.col("column_name").rlike("^l_(quantity|extendedprice)"), "amount").when(F.col("column_name").rlike("key$"), "key").otherwise("other").alias("kind"))
+    """The first rule whose pattern a title matches names its kind."""
+    rules = F.when(F.col("p_type").rlike("^(STANDARD|SMALL)"), "plain").when(F.col("p_name").rlike("ing$"), "ring").otherwise("other")
+    return table(spark, d, "part").select("p_partkey", rules.alias("kind"))
 
 
 @query()

@@ -67,12 +67,15 @@ def sim_self_bleu(spark, d):
     return similarity.self_bleu(g, ["idx"], "gen_id", "text")
 
 
-@query("SELECT vec_id, round(list_max([list_cosine_similarity(embedding[1:16]::DOUBLE[], embedding[17:32]::DOUBLE[]), list_cosine_similarity(embedding[1:16]::DOUBLE[], embedding[33:48]::DOUBLE[])]), 6) AS best FROM embeddings")
+@query("""WITH t AS (SELECT vec_id, list_transform(range(0, 4), lambda i: embedding[i * 16 + 1 : i * 16 + 16]::DOUBLE[]) AS w FROM embeddings), j AS (SELECT a.vec_id, a.w AS c, b.w AS r FROM t a JOIN t b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT vec_id, list_avg(list_transform(c, lambda x: list_max(list_transform(r, lambda y: list_cosine_similarity(x, y))))) AS p, list_avg(list_transform(r, lambda x: list_max(list_transform(c, lambda y: list_cosine_similarity(x, y))))) AS q FROM j)
+SELECT vec_id, round(p, 6) AS precision, round(q, 6) AS recall, round(2 * p * q / (p + q), 6) AS f1 FROM s""")
 def sim_bertscore(spark, d):
-    """Greedy token matching on given vectors: the best match of one token; a model supplies the vectors."""
-    part = lambda i: F.slice("embedding", 16 * i + 1, 16)
-    best = F.array_max(F.transform(F.array(part(1), part(2)), lambda r: similarity.cosine(part(0), r)))
-    return table(spark, d, "embeddings").select("vec_id", F.round(best, 6).alias("best"))
+    """Every vector read as four token vectors against those of the next one."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16))).alias("w"))
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("w").alias("r")), "vec_id")
+    s = j.select("vec_id", similarity.bertscore(F.col("w"), F.col("r")).alias("s"))
+    return s.select("vec_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS content FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -103,12 +106,13 @@ def vec_topk_nofilter(spark, d):
     return _topk(spark, d, None)
 
 
-@query("""WITH m AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE) / 2) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM m""")
+@query("""WITH m AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE + embedding[i + 48]::DOUBLE) / 3) AS v FROM embeddings)
+SELECT vec_id, list_transform(v, lambda y: round(y / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6)) AS pooled FROM m""")
 def vec_l2_mean_pool(spark, d):
-    """Mean of unmasked token vectors of length one: tokens 0 and 2 of three."""
+    """Mean of unmasked token vectors at length one: three of the four tokens of every vector."""
     part = lambda i: F.slice("embedding", 16 * i + 1, 16)
-    pooled = similarity.mean_pool(F.array(part(0), part(1), part(2)), F.array(F.lit(1), F.lit(0), F.lit(1)), 16)
-    return table(spark, d, "embeddings").select("vec_id", F.round(pooled[0], 6).alias("first"))
+    pooled = similarity.mean_pool(F.array(*map(part, range(4))), F.array(*map(F.lit, (1, 0, 1, 1))), 16)
+    return table(spark, d, "embeddings").select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))
 
 
 @query("SELECT (SELECT count(*) FROM paraphrase_vectors) <> (SELECT count(*) FROM combined_corpus) AS rebuild")

@@ -19,7 +19,8 @@ def test_query_equals_its_sql(spark, small, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, small, name):
-    assert catalog.QUERIES[name](spark, small).count() >= 0
+    rows = catalog.QUERIES[name](spark, small).collect()
+    assert rows and any(v is not None for r in rows for v in r)
 
 
 def test_entry_and_contract(spark):
