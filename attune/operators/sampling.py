@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attune.operators.ordering import row_index
+from attune.storage import cut, maybe_broadcast
 
 
 def lot(key: Column, seed: int) -> Column:
@@ -38,14 +39,33 @@ def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int) ->
     return shuffled(df, strata, key, seed).where(F.col("pos") <= n).drop("pos")
 
 
-def weighted_draw(df: DataFrame, key: str, weights: DataFrame, item: str, weight: str, seed: int) -> DataFrame:
-    """One item per row, drawn by weight: the first item whose cumulated share exceeds the row's number."""
-    total = Window.partitionBy()
-    upto = Window.orderBy(item)
-    shares = weights.withColumn("_hi", F.sum(weight).over(upto) / F.sum(weight).over(total)).select(item, "_hi")
-    packed = shares.agg(F.array_sort(F.collect_list(F.struct("_hi", item))).alias("_s"))  # one row of the few items
-    drawn = df.withColumn("_u", unit(F.col(key), seed)).crossJoin(F.broadcast(packed))
-    return drawn.select(key, F.element_at(F.filter("_s", lambda s: s["_hi"] > F.col("_u")), 1)[item].alias(item))
+def shares(weights: DataFrame, item: str, weight: str) -> DataFrame:
+    """The interval of [0, 1) that belongs to each item, in the order of items: item, _lo, _hi.
+
+    Range partitions are summed in parallel; one sum per partition goes to the driver.
+    """
+    placed = cut(weights.select(item, F.col(weight).cast("double").alias("_w")).repartitionByRange(item).sortWithinPartitions(item)).withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p").orderBy(item)
+    placed = placed.withColumn("_upto", F.sum("_w").over(inside)).withColumn("_before", F.coalesce(F.lag("_upto").over(inside), F.lit(0.0)))
+    offsets, total = [], 0.0
+    for r in placed.groupBy("_p").agg(F.max("_upto").alias("s")).orderBy("_p").collect():
+        offsets.append((r["_p"], total))
+        total += r["s"]
+    at = F.broadcast(weights.sparkSession.createDataFrame(offsets, "_p INT, _o DOUBLE"))  # a row per partition
+    return placed.join(at, "_p").select(item, ((F.col("_o") + F.col("_before")) / (total or 1.0)).alias("_lo"), ((F.col("_o") + F.col("_upto")) / (total or 1.0)).alias("_hi"))
+
+
+def weighted_draw(df: DataFrame, key: str, weights: DataFrame, item: str, weight: str, seed: int, cells: int = 1024) -> DataFrame:
+    """One item per row, drawn by weight: the item whose interval holds the row's number.
+
+    Intervals are cut at ``cells`` borders, so drawing is an equi-join on the cell, broadcast only below a checked
+    size; an item of great weight is in many cells, rows are dealt evenly over them. Items without weight are never drawn.
+    """
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1)).cast("int")
+    parts = shares(weights, item, weight).where("_hi > _lo")
+    parts = parts.select(item, "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_c"))
+    drawn = df.select(key, unit(F.col(key), seed).alias("_u")).withColumn("_c", cell(F.col("_u")))
+    return drawn.join(maybe_broadcast(parts), "_c").where("_lo <= _u AND _u < _hi").select(key, item)
 
 
 def choice(items: Column, key: Column, seed: int) -> Column:
