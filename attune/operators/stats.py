@@ -60,6 +60,46 @@ def mean_ranks(df: DataFrame, block: list[str], system: str, score: str) -> Data
     return df.withColumn("_r", fractional_rank(F.col(score), block)).groupBy(system).agg(F.avg("_r").alias("mean_rank"), F.count("*").alias("blocks"))
 
 
+def range_p(q: Column, groups: Column) -> Column:
+    """Upper tail of the studentised range of ``groups`` means with infinite degrees of freedom, in Arrow batches.
+
+    The integral over the smallest of the standard normal values is summed on a fine grid.
+    """
+    import math
+
+    import numpy as np
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
+        z = np.linspace(-9.0, 9.0, 4_001)
+        density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        normal = lambda v: np.array([0.5 * math.erfc(-t / math.sqrt(2)) for t in v])
+        at = normal(z)
+        out = []
+        for v, n in zip(x, k, strict=True):
+            if v is None or v != v:
+                out.append(None)
+                continue
+            inside = (normal(z + v) - at).clip(0.0, 1.0) ** (n - 1)
+            out.append(float(min(max(1.0 - n * np.sum(density * inside) * (z[1] - z[0]), 0.0), 1.0)))
+        return pd.Series(out, dtype="float64")
+
+    return tail(q, groups)
+
+
+def nemenyi(df: DataFrame, block: list[str], system: str, score: str) -> DataFrame:
+    """Nemenyi's post-hoc p of every pair of systems (a < b) after a Friedman test over complete blocks.
+
+    The statistic is the difference of mean ranks over sqrt(k (k + 1) / (12 n)) for k systems and n blocks.
+    """
+    m = mean_ranks(df, block, system, score)
+    k = m.agg(F.count("*").alias("_k"))
+    a, b = (m.select(F.col(system).alias(x), F.col("mean_rank").alias(f"_{x}"), F.col("blocks").alias(f"_n{x}")) for x in "ab")
+    j = a.join(b, F.col("a") < F.col("b")).crossJoin(F.broadcast(k))  # systems are few, the count is one row
+    q = F.abs(F.col("_a") - F.col("_b")) / F.sqrt(F.col("_k") * (F.col("_k") + 1) / (12.0 * F.col("_na")))
+    return j.select("a", "b", q.alias("q"), range_p(q, F.col("_k")).alias("p"))
+
+
 def somers_d(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Somers' D of y given x per group: (concordant - discordant) / pairs untied on x.
 

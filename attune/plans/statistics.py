@@ -71,6 +71,12 @@ def st_nemenyi(spark, d):
     return stats.mean_ranks(_blocks(spark, d), ["idx", "user_id"], "model", "rank")
 
 
+@query()
+def st_nemenyi_p(spark, d):
+    """Post-hoc p of every pair of systems; the studentised range has no SQL form, tables are checked in the tests."""
+    return stats.nemenyi(_blocks(spark, d), ["idx", "user_id"], "model", "rank").select("a", "b", F.round("q", 6).alias("q"), F.round("p", 6).alias("p"))
+
+
 @query("""SELECT l_returnflag, 'l_quantity' AS a, 'l_discount' AS b, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem GROUP BY 1
 UNION ALL SELECT l_returnflag, 'l_discount', 'l_tax', corr(l_discount, l_tax) FROM lineitem GROUP BY 1""")
 def st_corr_matrix(spark, d):

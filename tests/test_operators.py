@@ -273,6 +273,20 @@ def test_kappa_and_information(spark):
     assert agreement.mutual_information(xy, "x", "y").first()["mi"] == pytest.approx(math.log(2))
 
 
+def test_studentised_range_and_nemenyi(spark):
+    """Five per cent points from the usual tables, and a pair worked out by hand."""
+    points = spark.createDataFrame([(2.772, 2), (3.314, 3), (3.633, 4), (4.474, 10)], "q DOUBLE, k INT")
+    assert [r[0] for r in points.select(stats.range_p(F.col("q"), F.col("k"))).collect()] == pytest.approx([0.05] * 4, abs=2e-4)
+    rows = [(i, s, v) for i in range(6) for s, v in zip("xyz", (3.0, 2.0, 1.0), strict=True)]
+    got = {(r["a"], r["b"]): r for r in stats.nemenyi(spark.createDataFrame(rows, "i INT, s STRING, v DOUBLE"), ["i"], "s", "v").collect()}
+    assert got["x", "z"]["q"] == pytest.approx(2 / math.sqrt(3 * 4 / (12 * 6))) and got["x", "z"]["p"] < 0.01 < got["x", "y"]["p"]
+
+
+def test_permutations_of_few_rows_are_all_taken(spark):
+    few = spark.createDataFrame([("g", float(i), float(i)) for i in range(4)], "g STRING, x DOUBLE, y DOUBLE")
+    assert stats.permutation_p(few, ["g"], "x", "y").first()["p"] == pytest.approx(2 / 24)  # this order and its reverse
+
+
 def test_kappa_of_all_annotators(spark, small):
     """Every pair by brute force."""
     rated = {}
