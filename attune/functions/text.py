@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,34 @@ NEGATIONS = ("not", "no", "nor", "against", "never", "none", "nobody", "nothing"
 STOP_WORDS = ("a", "an", "the", "and", "or", "but", "if", "of", "at", "by", "for", "with", "to", "from", "in", "on", "is", "are", "was", "were", "be", "been", "so", "as", "than", "then", "that", "this", "these", "those", "has", "have", "had", "do", "does", "did")
 PRONOUNS = ("i", "me", "my", "mine", "we", "us", "our", "ours", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its", "they", "them", "their", "theirs")
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-EMOTICONS = ((":(", "sad"), (":)", "happy"), (":D", "laughing"), (";)", "winking"), (":'(", "crying"), ("<3", "love"))
+#: What western emoticons stand for, and the faces with that meaning.
+EMOTICONS = {
+    "Very happy": ":-)) :))",
+    "Happy face or smiley": ":-) :) :-] :]",
+    "Happy face smiley": ":-3 :3 :-> :> 8-) :o) :-} :} :c) :^) =] =)",
+    "Laughing, big grin or laugh with glasses": ":-D :D 8-D 8D X-D XD =D =3 B^D",
+    "Frown, sad, andry or pouting": ":-( :( :-c :c :-< :< :-[ :[ :-|| >:[ :{ :@ >:(",
+    "Crying": ":'-( :'(",
+    "Tears of happiness": ":'-) :')",
+    "Surprise": ":-O :O :-o :o",
+    "Shock": ":-0",
+    "Yawn": "8-0 >:O",
+    "Kiss": ":-* :* :X",
+    "Wink or smirk": ";-) ;) *-) *) ;-] ;] ;^) ;D",
+    "Tongue sticking out, cheeky, playful or blowing a raspberry": ":-P :P X-P XP :b =p >:P",
+    "Skeptical, annoyed, undecided, uneasy or hesitant": ":-/ :/ >:/ =/ :L =L :S",
+    "Straight face": ":-| :|",
+    "Embarrassed or blushing": ":$",
+    "Sealed lips or wearing braces or tongue-tied": ":-x :x :-# :# :-& :&",
+    "Angel, saint or innocent": "O:-) O:) 0:-3 0:3 0:-) 0:)",
+    "Evil or devilish": ">:-) >:) }:-) }:) 3:-) 3:) >;)",
+    "Cool": "|;-)",
+    "Bored": "|-O",
+    "Tongue-in-cheek": ":-J",
+    "Party all night": "#-)",
+    "Drunk or confused": "%-) %)",
+    "Dump": "<:-|",
+}
 LOOKALIKES = {"a": "a@*4", "i": "i*l1", "o": "o*0@", "u": "u*v", "v": "v*u", "l": "l1", "e": "e*3", "s": "s$5", "t": "t7"}
 
 
@@ -70,10 +99,12 @@ def squeeze(c: Column) -> Column:
 
 
 def strip_emoji(c: Column) -> Column:
-    """Without emoji; emoticons become their word."""
+    """Without emoji; emoticons that stand alone become what they stand for."""
     s = F.regexp_replace(c, "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\x{200D}]", "")
-    for face, word in sorted(EMOTICONS, key=lambda x: -len(x[0])):
-        s = F.replace(s, F.lit(face), F.lit(word))
+    # a longer face is never read as a shorter one: neither side may go on with a letter, digit or mark of a face
+    for words, faces in EMOTICONS.items():
+        either = "|".join(re.escape(f) for f in sorted(faces.split(), key=len, reverse=True))
+        s = F.regexp_replace(s, rf"(?<![\w:;=<>|#%}}*]){'(?:' + either + ')'}(?![\w()\[\]|])", words)
     return s
 
 
@@ -89,9 +120,9 @@ def tidy(c: Column) -> Column:
     return F.when(F.endswith(s, F.lit(".")), F.concat(joined, F.lit("."))).otherwise(joined)
 
 
-def clean(c: Column) -> Column:
-    """The whole cleaning in its fixed order."""
-    for step in (strip_ip, strip_url, unaccent, strip_html, mask_users, squeeze, strip_emoji, tidy):
+def clean(c: Column, keep: tuple[str, ...] = ()) -> Column:
+    """The whole cleaning in its fixed order; handles in ``keep`` are disguised words, not users."""
+    for step in (strip_ip, strip_url, unaccent, strip_html, lambda x: mask_users(x, keep), squeeze, strip_emoji, tidy):
         c = step(c)
     return c
 

@@ -113,7 +113,9 @@ def test_text_functions(spark):
     assert one(spark, "<p>Hi &amp; bye<script>x()</script></p>", X.strip_html) == "Hi & bye"
     assert one(spark, "'it is  done . now'", X.tidy) == "It is done. Now"
     assert one(spark, "Café ñandú straße", X.unaccent) == "Cafe nandu strasse"
-    assert one(spark, "see you :( \U0001f600", X.strip_emoji) == "see you sad "
+    assert one(spark, "see you :( \U0001f600", X.strip_emoji) == "see you Frown, sad, andry or pouting "
+    assert one(spark, ":-)) ;) >:( 12:3 a:b http://x", X.strip_emoji) == "Very happy Wink or smirk Frown, sad, andry or pouting 12:3 a:b http://x"
+    assert one(spark, "hi @Bob and @r$e", lambda c: X.clean(c, ("r\\$e",))) == "Hi @user and @r$e"
     assert one(spark, "x {\"a\": 1} y", X.json_block) == '{"a": 1}'
     assert one(spark, "Assistant 1 beats Assistant 2", X.swap_answers) == "Assistant 2 beats Assistant 1"
     assert one(spark, None, X.strip_ip) is None and one(spark, "", X.tidy) == ""
