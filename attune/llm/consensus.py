@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attune.functions.names import canonical_name
-from attune.storage import cut, maybe_broadcast
+from attune.storage import cut, small
 
 
 @dataclass
@@ -85,13 +85,15 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
     # s: high is good, centred per row; null where missing
     wide = wide.withColumn("m", mean)
     rated = cut(wide.select("item", "annotator", *cols, *[(F.col("m") - F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]))
-    weights = cut(rated.select("annotator").distinct().withColumn("w", F.lit(1.0)))
+    everyone = cut(rated.select("annotator").distinct())
+    few = small(everyone)  # the same annotators in every round
+    weights = everyone.withColumn("w", F.lit(1.0))
     kind = rated.schema["annotator"].dataType.simpleString()
     n = 0
 
     def weighted(w: DataFrame) -> DataFrame:
         # the floor keeps an item whose annotators all have weight zero decided by them alike
-        return rated.join(maybe_broadcast(w), "annotator").withColumn("w", F.greatest("w", F.lit(1e-6)))
+        return rated.join(F.broadcast(w) if few else w, "annotator").withColumn("w", F.greatest("w", F.lit(1e-6)))
 
     def sums(x: DataFrame) -> DataFrame:
         aggs = [F.sum(F.col("w") * F.col(f"s{i}")).alias(f"t{i}") for i in range(k)] + [F.sum(F.when(F.col(f"s{i}").isNotNull(), F.col("w"))).alias(f"n{i}") for i in range(k)]
@@ -110,10 +112,10 @@ def consensus(df: DataFrame, item: str = "idx", annotator: str = "user_id", rank
         total = stats.agg(F.sum("good").alias("g"), F.sum("pairs").alias("p")).first()
         base = (total["g"] or 0) / total["p"] if total["p"] else 0.5
         accuracy = (F.col("good") + prior * base) / (F.col("pairs") + prior)
-        new = weights.join(stats, "annotator", "left").select("annotator", F.col("w").alias("old"), "good", "pairs", "items", F.coalesce(accuracy, F.lit(base)).alias("accuracy"))
-        new = new.withColumn("w", F.when(F.col("accuracy") > 0.5, F.pow(F.coalesce(F.log(F.col("accuracy") / (1 - F.col("accuracy") + 1e-9)), F.lit(0.0)), 2)).otherwise(0.0))
-        stats = cut(new)
-        moved = stats.agg(F.max(F.abs(F.col("w") - F.col("old")))).first()[0]
+        # the new weights hang on this round's checkpoint only
+        stats = everyone.join(stats, "annotator", "left").select("annotator", "good", "pairs", "items", F.coalesce(accuracy, F.lit(base)).alias("accuracy"))
+        stats = stats.withColumn("w", F.when(F.col("accuracy") > 0.5, F.pow(F.coalesce(F.log(F.col("accuracy") / (1 - F.col("accuracy") + 1e-9)), F.lit(0.0)), 2)).otherwise(0.0))
+        moved = stats.join(weights.withColumnRenamed("w", "old"), "annotator").agg(F.max(F.abs(F.col("w") - F.col("old")))).first()[0]
         weights = stats.select("annotator", "w")
         if stable := moved is None or moved < tol:
             break
