@@ -19,14 +19,11 @@ def coarse(w: Column) -> Column:
 
 def spells(token: Column, word: Column) -> Column:
     """Whether a token is the word under the look-alike table, character by character."""
-    n = F.length(word)
-
-    def same(i: Column) -> Column:
-        t, w = F.substr(F.lower(token), i, F.lit(1)), F.substr(F.lower(word), i, F.lit(1))
-        allowed = F.coalesce(*[F.when(w == k, F.lit(v)) for k, v in LOOKALIKES.items()], w)
-        return F.contains(allowed, t)
-
-    return (F.length(token) == n) & F.forall(F.sequence(F.lit(1), n), same)
+    same = lambda c: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in LOOKALIKES.items()], c)
+    # no lambda refers to a column: Spark numbers lambda variables from 0 when it compares conditions, so a column
+    # with such a number is taken for one and the condition is pushed to a side that lacks the column
+    letters, allowed = F.split(F.lower(token), ""), F.transform(F.split(F.lower(word), ""), same)
+    return (F.length(token) == F.length(word)) & F.forall(F.zip_with(letters, allowed, lambda t, a: F.contains(a, t)), lambda x: x)
 
 
 def matches(df: DataFrame, key: str, text: str, words: DataFrame, word: str = "word") -> DataFrame:

@@ -1,10 +1,14 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import string
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +161,25 @@ def test_profanity_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_profanity_as_first_query_of_a_session(small):
+    """Columns of a session's first query have the low numbers that Spark also gives lambda variables."""
+    code = f"""
+from attune.plans import catalog
+from attune.session import session
+spark = session("local[2]", 2, **{{"spark.driver.memory": "1g"}})
+print("ROWS", len(catalog.QUERIES["txt_profanity_detect"](spark, {small!r}).collect()))
+"""
+    root = Path(__file__).resolve().parent.parent
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True, timeout=300)
+    import pyarrow.parquet as pq
+
+    words = {w.lower() for w in pq.read_table(f"{small}/profanity_wordlist.parquet")["word"].to_pylist() if w}
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{small}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    tokens = {(k, t) for k, text in docs.items() for t in re.findall(r"[A-Za-z0-9@$*!]+", text or "")}
+    want = [(k, t, w) for k, t in tokens for w in words if len(t) == len(w) and all(c in X.LOOKALIKES.get(l, l) for c, l in zip(t.lower(), w, strict=True))]
+    assert want and f"ROWS {len(want)}\n" in run.stdout, run.stderr[-2000:]
+
+
 def test_arrays_and_maps(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5], {"a": 2, "b": 1})], "v ARRAY<INT>, m MAP<STRING,INT>")
     assert df.select(scalars.regroup(F.col("v"), 2)).first()[0] == [[1, 2], [3, 4], [5]]
