@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from attune.llm.common import spread
 from attune.llm.text import normalise
+from attune.storage import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -72,6 +74,8 @@ _AT_WORD = r"(?:at|arroba|ät|klammeraffe|chez)"
 _DOT_WORD = r"(?:dot|punkt|punto|point)"
 #: What a text must hold for a written sign of an address.
 _AT_SIGN = re.compile(rf"[ \t](?:@|{_AT_WORD})[ \t]+[\w-]{{2,63}}(?:\.\w|[ \t]+{_DOT_WORD}[ \t])|[\[({{<][ \t]*(?:@|{_AT_WORD})[ \t]*[\])}}>]|@[\w.-]+[ \t]+{_DOT_WORD}[ \t]|[ \t]{_DOT_WORD}[ \t]+[\w+.-]+@")
+_DOT_INSIDE = re.compile(r"\.\w")
+_DOT_NAMES = _DOT_WORD[3:-1].split("|")
 _AT_BRACKET = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:@|{_AT_WORD})[ \t]*[\])}}>][ \t]*", re.I)
 _DOT_BRACKET = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:\.|{_DOT_WORD})[ \t]*[\])}}>][ \t]*", re.I)
 _AT_SPACED = re.compile(rf"(?<=\w)[ \t]+(?:@|{_AT_WORD})[ \t]+(?=[\w-]{{2,63}}(?:\.|[ \t]+{_DOT_WORD}[ \t]+)[\w-]{{2}})", re.I)
@@ -91,10 +95,20 @@ _DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"\b(?:(?:double|triple)[ -])?{_DIGIT}(?:[ ,-]{{1,2}}(?:(?:double|triple)[ -])?{_DIGIT}){{4,20}}\b", re.I)
 
 
+def _at_sign(low: str) -> bool:
+    """Whether a text in lower case holds a written sign of an address; the marks that every form needs are looked for first."""
+    marks = "@" in low or any(c in low for c in "[({<") or any(d in low for d in _DOT_NAMES) or _DOT_INSIDE.search(low)
+    return bool(marks and _AT_SIGN.search(low))
+
+
 def _spells(low: str) -> bool:
     """Whether five names of digits follow each other."""
+    words = low.replace("-", " ").replace(",", " ").split()
+    # of five words in a row one stands at every fifth place
+    if not any(w in DIGITS or w in ("double", "triple") or w.strip(".;:!?()[]\"'") in DIGITS for w in words[4::5]):
+        return False
     run = 0
-    for w in low.replace("-", " ").replace(",", " ").split():
+    for w in words:
         if w in DIGITS or w.strip(".;:!?()[]\"'") in DIGITS:
             run += 1
             if run > 4:
@@ -119,7 +133,7 @@ def deobfuscate(source: str) -> Tape:
     tape = Tape(source)
     text = tape.text
     low = text.lower()
-    if _AT_SIGN.search(low):
+    if _at_sign(low):
         if any(c in text for c in "[({<"):
             tape.rewrite(_AT_BRACKET, "@")
             if "@" in tape.text:
@@ -243,10 +257,12 @@ class Words:
 
     def __init__(self, text: str):
         self.text = text
-        self.spans = [m.span() for m in _TOKEN.finditer(text)]
-        self.words = [text[a:b] for a, b in self.spans]
-        low = text.lower()
-        self.low = [low[a:b] for a, b in self.spans] if len(low) == len(text) else [w.lower() for w in self.words]
+        self.words = _TOKEN.findall(text)
+        self.low = " ".join(self.words).lower().split(" ") if self.words else []
+
+    @functools.cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return [m.span() for m in _TOKEN.finditer(self.text)]
 
     def gap(self, i: int) -> str:
         """What stands between word i and the next."""
@@ -313,6 +329,84 @@ class Words:
         right = "^" if not bare or bare[0] in "\r\n" else bare[0] if not bare[0].isalpha() else self.low[i + count] if i + count < len(self.low) else "^"
         return left, right
 
+    def places(self) -> Iterator[Place]:
+        """Where a full name may stand, in order."""
+        words, low = self.words, self.low
+        for i in range(len(words) - 1):
+            announced = i > 0 and (low[i - 1] in TITLES or low[i - 1] in _CUE_END)
+            # a capitalised word needs another one or an initial's stop; in other case only an announced name counts
+            if not announced and not (words[i][0].isupper() and (words[i + 1][0].isupper() or len(words[i]) == 1)):
+                continue
+            shape = self.full(i)
+            if shape and _possible(shape[1].lower()) and _possible(shape[2].lower()):
+                cue = announced and self.cued(i)
+                if cue or _case(shape[2]) == 1:
+                    yield i, shape[0], shape[1].lower(), shape[2].lower(), *self.frame(i, shape[0]), cue
+
+    def runs(self) -> Iterator[tuple[list[str], list[Place]]]:
+        """Places that share words, with those words in lower case; the first word of a run has place 0."""
+        run: list[Place] = []
+        end = 0
+        for p in self.places():
+            if run and p[0] >= end:
+                yield self.low[run[0][0] : end], [(q[0] - run[0][0], *q[1:]) for q in run]
+                run = []
+            end = max(end, p[0] + p[1]) if run else p[0] + p[1]
+            run.append(p)
+        if run:
+            yield self.low[run[0][0] : end], [(q[0] - run[0][0], *q[1:]) for q in run]
+
+
+#: Word, number of words, given and family name in lower case, the frame's word or mark before and after it, whether wording announces it.
+Place = tuple[int, int, str, str, str, str, bool]
+
+
+# What makes a name's word, a frame and a word in other use, of numbers or of columns.
+
+
+def _is_name(c, named, total, inside):
+    """A name's word mostly stands where a name may, and often where one surely is."""
+    return (c >= 2) & (10 * named >= total) & (2 * inside >= total)
+
+
+def _is_frame(yes, no):
+    """At least four different names of known words stand in a frame and they are most of what does."""
+    return (yes >= 4) & (yes > 1.5 * no)
+
+
+def _is_other(named, total):
+    return (total >= 2) & (3 * named < total)
+
+
+def _is_common(total, inside):
+    return 2 * inside < total
+
+
+class Tally:
+    """Counts of texts that names are learned from: words, those where a name may stand, runs of places, names in frames."""
+
+    def __init__(self) -> None:
+        self.total: Counter[str] = Counter()
+        self.inside: Counter[str] = Counter()
+        self.runs: Counter[tuple] = Counter()
+        self.pairs: set[tuple[str, str, str, str]] = set()
+
+    def add(self, text: str) -> None:
+        p = Words(deobfuscate(text).text)
+        self.total.update(p.low)
+        for words, places in p.runs():
+            self.inside.update(words)
+            self.runs[tuple(words), tuple(places)] += 1
+            self.pairs.update((left, right, g, f) for _, _, g, f, left, right, _ in places)
+
+    def __len__(self) -> int:
+        return len(self.total) + len(self.runs) + len(self.pairs)
+
+    def rows(self) -> Iterator[tuple[str, str, int, int]]:
+        yield from (("word", w, n, self.inside[w]) for w, n in self.total.items())
+        yield from (("run", json.dumps(r, ensure_ascii=False), n, 0) for r, n in self.runs.items())
+        yield from (("pair", json.dumps(p, ensure_ascii=False), 1, 0) for p in self.pairs)
+
 
 @dataclass(frozen=True)
 class Names:
@@ -328,43 +422,46 @@ class Names:
     def _lexicon(self) -> frozenset[str]:
         return self.given | self.family | TITLES
 
+    def named(self, runs: Iterable[tuple[tuple, int]]) -> tuple[Counter[str], Counter[str], Counter[str]]:
+        """Given names, family names and all words of what surely are names: announced, in a learned frame, or of known words."""
+        given, family, named = Counter(), Counter(), Counter()
+        for (words, places), times in runs:
+            sure = set()
+            for i, n, g, f, left, right, cue in places:
+                if cue or (left, right) in self.frames or (g in self.given and f in self.family):
+                    if len(g) > 1:
+                        given[g] += times
+                    family[f] += times
+                    sure.update(range(i, i + n))
+            for j in sure:
+                named[words[j]] += times
+        return given, family, named
+
+    def framed(self, pairs: Iterable[tuple[str, str, str, str]]) -> dict[tuple[str, str], list[int]]:
+        """How many different names of known and of other words stand in each frame."""
+        seen: dict[tuple[str, str], list[int]] = {}
+        for left, right, g, f in pairs:
+            seen.setdefault((left, right), [0, 0])[0 if (g in self.given or len(g) == 1) and f in self.family else 1] += 1
+        return seen
+
     @classmethod
     def learn(cls, texts: list[str], rounds: int = 3) -> Names:
         """Bootstrap from ordinary wording: names it announces teach words, names of known words teach frames, and so on.
 
-        A frame is learned if at least four different names of known words stand in it and they are most of what does.
+        ``learned`` does the same over a table.
         """
-        pages = [Words(deobfuscate(t).text) for t in texts if t]
-        found = []  # page, place, count, given, family, frame, cued
-        for k, p in enumerate(pages):
-            for i in range(len(p.words)):
-                shape = p.full(i)
-                if shape and _possible(shape[1].lower()) and _possible(shape[2].lower()):
-                    kind = _case(shape[2])
-                    if kind == 1 or (cue := p.cued(i)):
-                        found.append((k, i, shape[0], shape[1].lower(), shape[2].lower(), p.frame(i, shape[0]), kind == 1 and p.cued(i) or kind != 1 and cue))
-        total = Counter(w for p in pages for w in p.low)
-        inside = Counter(pages[k].low[j] for k, j in {(k, j) for k, i, n, *_ in found for j in range(i, i + n)})
+        t = Tally()
+        for text in texts:
+            if text:
+                t.add(text)
         model = cls()
         for _ in range(rounds):
-            given, family, sure = Counter(), Counter(), set()
-            for k, i, n, g, f, frame, cue in found:
-                if cue or frame in model.frames or (g in model.given and f in model.family):
-                    if len(g) > 1:
-                        given[g] += 1
-                    family[f] += 1
-                    sure.update((k, j) for j in range(i, i + n))
-            named = Counter(pages[k].low[j] for k, j in sure)
-            # a name's word mostly stands where a name may, and often where one surely is
-            is_name = lambda w, c: c >= 2 and 10 * named[w] >= total[w] and 2 * inside[w] >= total[w]
-            model = replace(model, given=frozenset(w for w, c in given.items() if is_name(w, c)), family=frozenset(w for w, c in family.items() if is_name(w, c)))
-            seen: dict[tuple[str, str], list[set]] = {}
-            for _, _, _, g, f, frame, _ in found:
-                known = (g in model.given or len(g) == 1) and f in model.family
-                seen.setdefault(frame, [set(), set()])[0 if known else 1].add((g, f))
-            model = replace(model, frames=frozenset(k for k, (yes, no) in seen.items() if len(yes) >= 4 and len(yes) > 1.5 * len(no)))
-        other = frozenset(w for w, c in total.items() if c >= 2 and 3 * named[w] < c)
-        return replace(model, other=other, common=frozenset(w for w in other if 2 * inside[w] < total[w]))
+            given, family, named = model.named(t.runs.items())
+            of = lambda c: frozenset(w for w, n in c.items() if _is_name(n, named[w], t.total[w], t.inside[w]))  # noqa: B023, E731
+            model = replace(model, given=of(given), family=of(family))
+            model = replace(model, frames=frozenset(k for k, (yes, no) in model.framed(t.pairs).items() if _is_frame(yes, no)))
+        other = frozenset(w for w, c in t.total.items() if _is_other(named[w], c))
+        return replace(model, other=other, common=frozenset(w for w in other if _is_common(t.total[w], t.inside[w])))
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Names of a deobfuscated text."""
@@ -380,7 +477,7 @@ class Names:
             w = low[i]
             small = not p.words[i][0].isupper()
             # an announced name may be written in lower case
-            if small and i and (low[i - 1] in TITLES or low[i - 1] in _CUE_END) and p.cued(i) and (shape := p.full(i)) and not {shape[1], shape[2]} & (_NO_NAME | self.common):
+            if small and i and (low[i - 1] in TITLES or low[i - 1] in _CUE_END) and p.cued(i) and (shape := p.full(i)) and not any(x in _NO_NAME or x in self.common for x in shape[1:]):
                 yield p.spans[i][0], p.end(i, shape[0])
                 i += shape[0]
                 continue
@@ -518,18 +615,80 @@ def redact(source: str | None, names: Names) -> str | None:
     return "".join([*out, source[last:]])
 
 
-def learned(df: DataFrame, key: str, text: str, sample_rows: int = 5_000, seed: int = 11) -> Names:
-    """Names and frames learned on at most about ``sample_rows`` texts picked by a hash of the key."""
-    n = df.count()
-    pick = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(max(n, 1))) < sample_rows) if n > sample_rows else df
-    return Names.learn(sorted(r[0] for r in pick.select(text).where(F.col(text).isNotNull()).limit(2 * sample_rows).collect()))
+#: Entries that a task counts before it passes them on.
+_HELD = 200_000
+
+
+def learned(df: DataFrame, key: str, text: str, rounds: int = 3) -> Names:
+    """Names and frames learned on all texts, as ``Names.learn`` does.
+
+    One pass counts words, runs of places and names in frames in the tasks; the rounds read only these distinct
+    items, and the driver gets the words and frames that are learned. The key is not needed.
+    """
+    sc = df.sparkSession.sparkContext
+
+    def count(batches):
+        import pyarrow as pa
+
+        def batch_of(t: Tally) -> pa.RecordBatch:
+            cols = list(zip(*t.rows(), strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["what", "item", "total", "inside"])
+
+        t = Tally()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if x:
+                    t.add(x)
+                    if len(t) >= _HELD:
+                        yield batch_of(t)
+                        t = Tally()
+        yield batch_of(t)
+
+    counts = spread(df.select(text)).mapInArrow(count, "what STRING, item STRING, total BIGINT, inside BIGINT")
+    counts = cut(counts.groupBy("what", "item").agg(F.sum("total").alias("total"), F.sum("inside").alias("inside")))
+    part = lambda what: counts.where(F.col("what") == what)
+    words, runs, pairs = part("word").select("item", "total", "inside"), part("run").select("item", "total"), part("pair").select("item")
+    model = Names()
+    for k in range(rounds):
+        sent = sc.broadcast(model)
+
+        def name(batches, sent=sent):
+            import pyarrow as pa
+
+            for batch in batches:
+                c = sent.value.named(zip(map(json.loads, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True))
+                items = list(c[2])  # every word of a given or family name is one of these
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), *(pa.array([x[w] for w in items], pa.int64()) for x in c)], names=["item", "given", "family", "named"])
+
+        sums = runs.mapInArrow(name, "item STRING, given BIGINT, family BIGINT, named BIGINT").groupBy("item").agg(*(F.sum(c).alias(c) for c in ("given", "family", "named")))
+        last = k == rounds - 1
+        named, total, inside = F.coalesce("named", F.lit(0)), F.col("total"), F.col("inside")
+        of = {c: _is_name(F.coalesce(c, F.lit(0)), named, total, inside) for c in ("given", "family")}
+        if last:
+            of |= {"other": _is_other(named, total), "common": _is_other(named, total) & _is_common(total, inside)}
+        found = words.join(sums, "item", "left" if last else "inner").select("item", *(v.alias(c) for c, v in of.items())).where(functools.reduce(lambda a, b: a | b, map(F.col, of))).toArrow()
+        model = replace(model, **{c: frozenset(found.filter(found[c])["item"].to_pylist()) for c in of})
+        sent.destroy()
+        sent = sc.broadcast(model)
+
+        def frame(batches, sent=sent):
+            import pyarrow as pa
+
+            for batch in batches:
+                seen = sent.value.framed(map(json.loads, batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in seen], pa.string()) for j in (0, 1)] + [pa.array([x[j] for x in seen.values()], pa.int64()) for j in (0, 1)], names=["before", "after", "yes", "no"])
+
+        seen = pairs.mapInArrow(frame, "before STRING, after STRING, yes BIGINT, no BIGINT").groupBy("before", "after").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        model = replace(model, frames=frozenset((r["before"], r["after"]) for r in seen.where(_is_frame(F.col("yes"), F.col("no"))).select("before", "after").collect()))
+        sent.destroy()
+    return model
 
 
 def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", names: Names | None = None) -> DataFrame:
     """key, kind, pii_text, start, end of every piece of personal data (positions count characters).
 
     Only maps over the two columns, whole texts whatever their length; null and empty texts give no row,
-    repeated rows give theirs again. ``names`` (learned from the table where not given) holds a bounded sample's words.
+    repeated rows give theirs again. ``names`` are learned from all rows of the table where not given.
     """
     kind = df.schema[key].dataType.simpleString()
     sent = df.sparkSession.sparkContext.broadcast(learned(df, key, text) if names is None else names)

@@ -343,6 +343,17 @@ def test_names_learned_from_wording():
     assert [t[a:b] for a, b, _ in pii.find(t, n)] == ["Uma Yarrow", "pio wend"]
 
 
+def test_names_learned_from_all_rows(spark):
+    """People and wording that stand in a few of 12,000 rows are learned, as from the texts at once."""
+    people = [f"{a} {b}" for a in ("Ona", "Pio", "Rue", "Sef", "Tia") for b in ("Vost", "Wend", "Xant")]
+    texts = [f"My name is {p}. The list is long." for p in people] + [f"the memo from {p} says no" for p in people] + ["Best regards, Ona Vost and Pio Wend, Rue Xant", None, ""]
+    texts += [f"Cedar Lite gave answer {k} to the list" for k in range(12_000 - len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(5)
+    n = pii.learned(df, "doc_id", "text")
+    assert n == pii.Names.learn(texts)
+    assert n.given == {"ona", "pio", "rue", "sef", "tia"} and n.family == {"vost", "wend", "xant"} and ("from", "says") in n.frames and {"cedar", "lite", "list"} <= n.other
+
+
 def test_redaction_keeps_the_rest(spark):
     t = "Hi​, my name is Mira Yarborne ; write to mira AT mail DOT example.\r\nBye"
     df = spark.createDataFrame([(1, t, "x"), (2, None, "x"), (3, "", "x")], "doc_id BIGINT, text STRING, kind STRING")
