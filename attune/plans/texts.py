@@ -111,8 +111,8 @@ def txt_irrelevant_word(spark, d):
 
 @query()
 def txt_profanity_detect(spark, d):
-    """Tokens that spell a listed word under look-alike characters; checked by brute force in the tests."""
-    return profanity.matches(_docs(spark, d), "doc_id", "text", table(spark, d, "profanity_wordlist"))
+    """Words that alone or joined with the next ones spell a listed word under look-alike characters; checked by brute force in the tests."""
+    return profanity.walk(_docs(spark, d), "doc_id", "text", table(spark, d, "profanity_wordlist"))
 
 
 @query(r"""SELECT doc_id, list_sort(list(DISTINCT w)) AS words FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE w IN (SELECT lower(word) FROM profanity_wordlist) GROUP BY 1""")

@@ -7,6 +7,7 @@ import re
 import string
 import subprocess
 import sys
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -180,6 +181,54 @@ print("ROWS", len(catalog.QUERIES["txt_profanity_detect"](spark, {small!r}).coll
     assert want and f"ROWS {len(want)}\n" in run.stdout, run.stderr[-2000:]
 
 
+def walked(text, words):
+    """(token, word) of the walk over a text, character by character."""
+    inside = lambda c: c in string.ascii_letters + string.digits + "@$*\"'" or unicodedata.category(c)[0] in "LM"
+    spelled = lambda f, w: len(f) == len(w) and all(c in X.LOOKALIKES.get(k, k) for c, k in zip(f, w, strict=True))
+    runs, begin = [], None
+    for i, c in enumerate(text + " "):
+        if inside(c):
+            begin = i if begin is None else begin
+        elif begin is not None:
+            runs.append((begin, i))
+            begin = None
+    following = max([1, *[sum(not inside(c) for c in w) for w in words]])
+    forms = {(t, t) for t in re.findall(r"[A-Za-z0-9@$*!]+", text)}
+    for i, (a, b) in enumerate(runs):
+        for _, end in runs[i : i + following + 1]:
+            forms |= {(text[a:b], text[a:end]), (text[a:b], "".join(filter(inside, text[a:end])))}
+    return {(t, w) for t, f in forms for w in words if spelled(f.lower(), w)}
+
+
+def test_profanity_walk_joins_words_as_brute_force_does(spark):
+    words = ["snark", "tosser", "glim the blob", "blob-head", "imbécil", "b!tz", "a"]
+    texts = ["sn ark", "s\nn\n@rk", "s n a rk", "t0s, ... $er!", "Glim The BLOB glim  the blob", "bl0b-head", "IMBÉCIL! imb écil", "he's \"snark\"", "l'snark", "snаrk sn\u0301ark", "B!TZ", "snark", "x snar k", "4", "", None]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices(["s", "n", "ark", "@rk", "to", "5S", "er", "glim", "the", "blob", "head", "é", "'", "!", "-", " ", "  ", "\n", "…"], k=400)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = [tuple(r) for r in profanity.walk(df, "id", "text", spark.createDataFrame([(f" {w.title()} ",) for w in words] + [(None,), (" ",)], "word STRING")).collect()]
+    assert set(got) == {(i, *x) for i, t in enumerate(texts) for x in walked(t or "", words)} and len(got) == len(set(got))
+    assert {(0, "sn", "snark"), (1, "s", "snark"), (3, "t0s", "tosser"), (4, "Glim", "glim the blob"), (5, "bl0b", "blob-head"), (6, "imb", "imbécil"), (8, "snark", "snark"), (12, "snar", "snark"), (13, "4", "a")} <= set(got)
+    assert not {i for i, _, w in got if w == "snark"} & {2, 9} and sum(x[0] == 4 for x in got) == 1
+
+
+def test_profanity_detect_walks_as_first_query_of_a_session(small):
+    code = f"""
+from attune.plans import catalog
+from attune.session import session
+spark = session("local[2]", 2, **{{"spark.driver.memory": "1g"}})
+print("ROWS", sorted(tuple(r) for r in catalog.QUERIES["txt_profanity_detect"](spark, {small!r}).collect()))
+"""
+    root = Path(__file__).resolve().parent.parent
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True, timeout=300)
+    import pyarrow.parquet as pq
+
+    words = {w.strip().lower() for w in pq.read_table(f"{small}/profanity_wordlist.parquet")["word"].to_pylist() if w}
+    docs = pq.read_table(f"{small}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    want = {(r["doc_id"], *x) for r in docs for x in walked(r["text"] or "", words)}
+    assert any(len(t) < len(w) for _, t, w in want) and f"ROWS {sorted(want)}\n" in run.stdout, run.stderr[-2000:]
+
+
 def test_arrays_and_maps(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5], {"a": 2, "b": 1})], "v ARRAY<INT>, m MAP<STRING,INT>")
     assert df.select(scalars.regroup(F.col("v"), 2)).first()[0] == [[1, 2], [3, 4], [5]]
